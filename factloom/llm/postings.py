@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK = "bucket int, keys binary, sizes binary, counts binary, hashes binary, dfs binary, pay binary"
@@ -39,6 +40,23 @@ def pack(bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, sizes: np.ndarra
     })
 
 
+def note(bucket: int, keys: np.ndarray, sizes: np.ndarray, pay: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+    """A row about documents that travels with the postings and reaches the last step unchanged."""
+    one = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+    none = pa.array([b""], pa.binary())
+    return pa.record_batch([pa.array([bucket], pa.int32()), one(keys, np.int64), one(sizes, np.int32), none, none, one(flags, np.int32), one(pay, np.int64)], names=["bucket", "keys", "sizes", "counts", "hashes", "dfs", "pay"])
+
+
+def _notes(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches without notes; notes are put into out."""
+    for batch in batches:
+        is_note = pc.equal(pc.binary_length(batch.column("hashes")), 0)
+        if pc.any(is_note).as_py():
+            out.append(batch.filter(is_note))
+            batch = batch.filter(pc.invert(is_note))
+        yield batch
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     kinds = {"keys": np.int64, "sizes": np.int32, "counts": np.int32, "hashes": np.uint64, "dfs": np.int32, "pay": np.int64}
     parts: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
@@ -49,16 +67,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     return out if len(out["hashes"]) else None
 
 
-def shared(chunks: DataFrame, buckets: int, finish: Callable, schema: str, distinct_keys: bool) -> DataFrame:
+def shared(chunks: DataFrame, buckets: int, finish: Callable, schema: str, distinct_keys: bool, finish_note: Callable | None = None) -> DataFrame:
     """Postings whose hash occurs at least twice, gathered for each key.
 
     chunks: rows of CHUNK from pack(). finish(keys, sizes, starts, counts, hashes, dfs, pay) -> RecordBatch of
     schema gets all documents of a task at once, postings of a document together. distinct_keys: a hash counts
-    once for each key; else each posting counts.
+    once for each key; else each posting counts. finish_note(row of CHUNK as a dict) -> RecordBatch of schema.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _gather(batches)
+        notes: list[pa.RecordBatch] = []
+        g = _gather(_notes(batches, notes))
+        yield from notes
         if g is None:
             return
         doc = np.repeat(np.arange(len(g["keys"]), dtype=np.int32), g["counts"])
@@ -89,7 +109,11 @@ def shared(chunks: DataFrame, buckets: int, finish: Callable, schema: str, disti
             yield pack(to[j], doc[order[j]], g["keys"], g["sizes"], [h[order[j]], df[j], pay[j] if len(pay) else pay])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _gather(batches)
+        notes: list[pa.RecordBatch] = []
+        g = _gather(_notes(batches, notes))
+        for batch in notes:
+            for row in batch.to_pylist():
+                yield finish_note(row)
         if g is None:
             return
         own = np.repeat(g["keys"], g["counts"])
