@@ -74,11 +74,15 @@ def deduplicate(spark: SparkSession, path: str, schema: T.StructType, text_col:
     bytes. Should they differ, the digest's rows are grouped by the texts themselves.
     """
     base = shared_path(spark)
-    source = spark.readStream.schema(schema)
+    source, folder = spark.readStream.schema(schema), path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        # A stream watches folders: a table of one file is its name in the folder above.
+        source, folder = source.option("pathGlobFilter", at.getName()), at.getParent().toString()
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     text = F.col(text_col)
-    rows = source.parquet(path).select(
+    rows = source.parquet(folder).select(
         F.col(id_col).alias("id"), digest(normalised(text)).alias("digest"), F.coalesce(F.length(text), F.lit(0)).alias("points"), F.col("_metadata.file_path").alias("place"),
     )
     _finish(rows.writeStream.format("parquet").option("path", f"{base}/digests").option("checkpointLocation", f"{base}/digests-log").trigger(availableNow=True).start())

@@ -59,7 +59,7 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     least = -(-share // (100 - share)) if share < 100 else 1 << 30
     lines = staged(every.withColumn("tokens", tokens).select(
         "id", "key", "pos", n.alias("n"), F.xxhash64("tokens").alias("fp"),
-        F.when(n >= least, F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))).alias("sig"),
+        F.when(n >= least, F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))).alias("sig"),
         F.when(n >= least, F.slice("tokens", F.lit(1), prefix)).alias("prefix"),
     ))
     at = F.struct(F.col("id").isNull().alias("null"), "id", "key", "pos")
