@@ -1,4 +1,6 @@
-"""Registry of the analytics queries: name -> Spark function, name -> DuckDB SQL."""
+"""All registered queries: name -> Spark function, name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import comparison, decisions, relational, streams, texts  # noqa: F401  each registers its queries
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
