@@ -72,7 +72,7 @@ def cylinders(text: Column) -> Column:
 def parse_flag(text: Column) -> Column:
     """boolean: yes and no words; any other text counts as presence; null and blank are null."""
     word = F.lower(F.trim(text))
-    return F.when(word == "", F.lit(None)).when(word.isin(YES), F.lit(True)).when(word.isin(NO), F.lit(False)).otherwise(word.isNotNull())
+    return F.when(word.isNull() | (word == ""), F.lit(None)).when(word.isin(YES), F.lit(True)).when(word.isin(NO), F.lit(False)).otherwise(word.isNotNull())
 
 
 def tyre(text: Column) -> Column:

@@ -47,7 +47,7 @@ def tokens(text: Column, stop: list[str] = STOP) -> Column:
 
 def split_list(text: Column) -> Column:
     """Items between , ; + and the word e, of two characters or more, in order and once each."""
-    items = F.transform(F.split(F.lower(text), r"[,;+]| e "), F.trim)
+    items = F.transform(F.split(F.lower(text), r"[,;+]| e "), lambda x: F.trim(x))
     return F.array_distinct(F.filter(items, lambda x: F.length(x) > 1))
 
 
