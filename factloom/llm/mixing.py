@@ -74,6 +74,7 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sourc
     Rows without words go: the mix takes nothing from them."""
     took = mix(docs, text_col, id_col, source_col, **how).where("taken > 0").select("row_key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     took = took.groupBy("row_key").agg(F.max("times").alias("times"))
-    key = row_key(F.col(id_col), F.col(text_col))
-    out = docs.withColumn("_key", key).join(took.hint("shuffle_hash"), F.col("_key") == F.col("row_key"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    # A row travels as one struct, so its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
+    out = rows.join(took.hint("shuffle_hash"), F.col("key") == F.col("row_key"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
