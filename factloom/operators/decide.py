@@ -67,29 +67,31 @@ def value_groups(observations: DataFrame, spec: DataFrame) -> DataFrame:
     """(entity, field, num, tier, grp): observations' distinct numbers in groups of compatible ones.
 
     In order of tier, then number, each joins the first group with all of whose numbers it agrees. Equal numbers of
-    a tier are one, so a task holds a field's distinct numbers, not its rows.
+    a tier are one. Rows stream through in order; a task holds the groups' bounds of the field it is at.
     """
     distinct = observations.where("num is not null").select("entity", "field", "tier", "num").distinct()
     rows = distinct.join(F.broadcast(spec.select("field", "tol_abs", "tol_rel")), "field", "left")
 
-    def cluster(keys: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = pd.concat(parts).sort_values(["tier", "num"], kind="stable")
-        spans: list[list[float]] = []
-        mine = []
-        for num, a, r in zip(g["num"], g["tol_abs"], g["tol_rel"], strict=True):
-            for k, (lo, hi) in enumerate(spans):
-                lo, hi = min(lo, num), max(hi, num)
-                gap = hi - lo
-                if gap == 0 or gap <= a + 1e-9 or gap <= r * max(abs(lo), abs(hi)):
-                    spans[k] = [lo, hi]
-                    mine.append(k)
-                    break
-            else:
-                spans.append([num, num])
-                mine.append(len(spans) - 1)
-        yield pd.DataFrame({"entity": g["entity"], "field": g["field"], "num": g["num"], "tier": g["tier"], "grp": mine})
-
-    return rows.groupBy("entity", "field").applyInPandas(lambda keys, g: next(cluster(keys, iter([g]))), "entity bigint, field string, num double, tier int, grp int")
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, bounds = None, []
+        for b in batches:
+            mine = []
+            for e, f, num, a, r in zip(b["entity"], b["field"], b["num"], b["tol_abs"], b["tol_rel"], strict=True):
+                if (e, f) != now:
+                    now, bounds = (e, f), []
+                for k, (lo, hi) in enumerate(bounds):
+                    lo, hi = min(lo, num), max(hi, num)
+                    if hi == lo or hi - lo <= a + 1e-9 or hi - lo <= r * max(abs(lo), abs(hi)):
+                        bounds[k] = (lo, hi)
+                        break
+                else:
+                    k = len(bounds)
+                    bounds.append((num, num))
+                mine.append(k)
+            yield b[["entity", "field", "num", "tier"]].assign(grp=mine)
+
+    ordered = rows.repartition("entity", "field").sortWithinPartitions("entity", "field", "tier", "num").select("entity", "field", "num", "tier", "tol_abs", "tol_rel")
+    return ordered.mapInPandas(cluster, "entity bigint, field string, num double, tier int, grp int")
 
 
 def prefer_cells(observations: DataFrame) -> DataFrame:
