@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text turned into n-grams at once.
@@ -106,15 +109,21 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = 300, max_bytes: int = 20_000, landmarks: int = 256, ridge: float = 1.0) -> Classifier | None:
     """Fit on at most per_lang rows of each language, those of smallest hash among rows that are not held out and
-    whose text has at most max_bytes bytes (both bound what the driver holds). None without a labelled row."""
-    train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.octet_length(text_col) <= max_bytes) & F.col(text_col).rlike(r"\p{L}"))
-    langs = [r[0] for r in docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().collect()]
-    rows: list[tuple[int, str, str]] = []
-    for lang in langs:
-        of = train.where(F.col(lang_col) == lang).select(F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.col(lang_col), F.col(text_col))
-        rows += [tuple(r) for r in of.orderBy("h", text_col).limit(per_lang).collect()]
-    rows.sort()
-    return Classifier([r[2].encode() for r in rows], [r[1] for r in rows], landmarks, ridge) if rows else None
+    whose text has at most max_bytes bytes (both bound what the driver holds; languages are taken to be few). Rows
+    equal in id and text count once. None without a labelled row.
+
+    Hashes alone settle which rows these are; their texts are read in a second pass, so what tasks send doesn't
+    grow with their number."""
+    lang, text = F.col(lang_col), F.col(text_col)
+    train = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.octet_length(text) <= max_bytes) & text.rlike(r"\p{L}"))
+    train = train.select(lang.alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(11)).alias("h"), text.alias("text"))
+    first = train.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_lang)
+    last = first.groupBy("lang").agg(F.max("h").alias("last")).collect()
+    chosen = [(F.col("lang") == r["lang"]) & (F.col("h") <= r["last"]) for r in last]
+    if not chosen:
+        return None
+    rows = sorted(tuple(r) for r in train.where(reduce(or_, chosen)).dropDuplicates(["lang", "h"]).select("h", "lang", "text").collect())
+    return Classifier([r[2].encode() for r in rows], [r[1] for r in rows], landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text", id_col: str = "doc_id", passing: list[str] | None = None) -> DataFrame:
