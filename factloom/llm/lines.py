@@ -5,22 +5,32 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, words
+from .common import partitions, row_key, staged
 
 #: Buckets of the count of words, and so ranks of rarity that a word can have.
 RANKS = 32768
+#: Most words of 64 bits in the bit table that finds lines again; it is broadcast, so this bounds its size.
+BIT_WORDS = 1 << 20
 _LOW = (1 << 48) - 1
+_LAST = (1 << 63) - 1
 
 
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 49).cast("int")
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text, their other white space as spaces; null for null."""
+    return F.split(F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text), "\n")
+
+
 def rarity(texts: DataFrame, col: str) -> list[int]:
     """Rank of each bucket of word hashes by how many words of all texts fall into it. RANKS numbers."""
-    w = texts.select(F.explode(words(F.col(col))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    lines = texts.select(F.explode(_lines(F.col(col))).alias("line"))
+    w = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''").select(_bucket(F.xxhash64("w")).alias("b"))
     counts = dict(w.groupBy("b").agg(F.count("*").alias("c")).collect())
     ranks = [0] * RANKS
     for rank, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
@@ -29,97 +39,146 @@ def rarity(texts: DataFrame, col: str) -> list[int]:
 
 
 def token_set(line: Column, ranks: list[int]) -> Column:
-    """The distinct words of a line as numbers, rarest first: rank of the word's bucket, then its hash."""
+    """The distinct words of a line (see _lines) as numbers, rarest first: rank of the word's bucket, then its hash."""
     table = F.from_json(F.lit(json.dumps(ranks)), "array<int>")
-    number = lambda h: F.shiftleft(F.get(table, _bucket(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
-    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: number(F.xxhash64(w)))))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(table, _bucket(h)), F.lit(0)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
+
+
+def _possible(share: int) -> Column:
+    """Length, positional and parity filters on a row (n, i, sig) joined to another (xn, xi, xsig)."""
+    c = F.col
+    need = F.ceil(share * (c("n") + c("xn")) / (100 + share))
+    return (
+        (share * F.greatest("n", "xn") <= 100 * F.least("n", "xn")) & (F.least(c("n") - c("i"), c("xn") - c("xi")) >= need)
+        & (F.bit_count(c("sig").bitwiseXOR(c("xsig"))) <= c("n") + c("xn") - 2 * need)
+    )
+
+
+def _marked(df: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose 64-bit col is in wanted (one bigint column), and a few others: a bit for each wanted number
+    in a table of at most BIT_WORDS words is broadcast, so df stays where it is."""
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(BIT_WORDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    w = F.col(wanted.columns[0])
+    bits = wanted.groupBy(word(w).alias("_word")).agg(F.bit_or(bit(w)).alias("_bits"))
+    return df.withColumn("_word", word(F.col(col))).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit(F.col(col))) != 0).drop("_word", "_bits")
+
+
+def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> DataFrame:
+    """(fp, xfp, quick): sets that may reach the share, x not later than the other by document.
+
+    Each set is listed under its rarest words, apart by size. All lists are dealt out once. In a list, a set that
+    has the same next word as an earlier one with which it surely agrees meets that one alone (quick), so a group
+    of near copies gives pairs in proportion to its size; others meet every set of the list that is not later.
+    only: fp of the sets to look up, none of them quick.
+    """
+    half = lambda n: F.floor(F.log2(n) * 2).cast("int")
+    entries = F.transform("prefix", lambda t, i: F.struct(i.alias("i"), t.alias("token"), F.hash(F.get("prefix", i + 1)).alias("follows")))
+    listed = sets.where("prefix is not null").select("fp", "n", "sig", F.coalesce("id", F.lit(_LAST)).alias("id"), F.explode(entries).alias("e"))
+    listed = listed.withColumn("size", F.explode(F.sequence(half(F.col("n")), half(F.floor(F.col("n") * 100 / share)))))
+    listed = listed.select(F.xxhash64("e.token", "size").alias("list"), "e.follows", "e.i", "fp", "n", "sig", "id")
+    columns = ("follows", "fp", "n", "sig", "id", "i")
+    other = lambda df: df.select("list", *[F.col(c).alias("x" + c) for c in columns])
+    if only is None:
+        listed = listed.repartition(partitions(sets.sparkSession), "list")
+        x = other(listed)
+        head = F.first(F.struct(*columns)).over(W.partitionBy("list", "follows").orderBy("id", "fp"))
+        y = listed.withColumn("h", head).select("list", *columns, *[F.col(f"h.{c}").alias("x" + c) for c in columns])
+        far = F.col("n") + F.col("xn") - 2 * F.ceil(share * (F.col("n") + F.col("xn")) / (100 + share))
+        # Surely: at most half the differences that are allowed show, and these are few for 64 bits.
+        sure = (far <= 16) & (2 * F.bit_count(F.col("sig").bitwiseXOR(F.col("xsig"))) <= far)
+        y = y.withColumn("head", F.when((F.col("xid") < F.col("id")) & sure & _possible(share), F.col("xfp"))).select("list", *columns, "head")
+    else:
+        y = listed.join(only, "fp", "left_semi").withColumn("head", F.lit(None).cast("long"))
+        x = other(_marked(listed, "list", y.select("list")))
+    meets = F.when(F.col("head").isNotNull(), F.col("xfp") == F.col("head")).otherwise((F.col("xid") <= F.col("id")) & _possible(share))
+    # The last term holds always: with it both sides have the same columns, so the lists are dealt out once.
+    pairs = y.join(x, "list").where((F.col("fp") != F.col("xfp")) & meets & (F.greatest("follows", "xfollows") >= -(1 << 31)))
+    return staged(pairs.groupBy("fp", "xfp").agg(F.bool_and(F.col("head").isNotNull()).alias("quick")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, ranks: list[int], share: int) -> DataFrame:
+    """pairs with late, the fp of the later set where the whole sets reach the share, else null.
+
+    The documents, then the lines that pairs name are found again by tables of bits, so texts stay where they are
+    and only those lines' words travel.
+    """
+    named = pairs.select("fp").union(pairs.select(F.col("xfp").alias("fp"))).distinct().join(sets.select("fp", "id", "key", "pos"), "fp")
+    named = staged(named.withColumn("h", F.xxhash64("key", "pos")))
+    every = _marked(docs.select(F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("key")), "key", named.select("key"))
+    every = every.select("key", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("h", F.xxhash64("key", "pos"))
+    found = _marked(every, "h", named.select("h")).select("h", "key", "pos", token_set(F.col("line"), ranks).alias("tokens"))
+    at = F.struct(F.col("id").isNull().alias("null"), "id", "key", "pos").alias("at")
+    whole = staged(named.select("fp", "h", "id", F.col("key").alias("nkey"), F.col("pos").alias("npos")).join(found, "h").where("key = nkey and pos = npos").select("fp", at, "tokens").dropDuplicates(["fp"]))
+    both = pairs.join(whole, "fp").join(whole.select(F.col("fp").alias("xfp"), F.col("at").alias("xat"), F.col("tokens").alias("xtokens")), "xfp")
+    common = F.size(F.array_intersect("tokens", "xtokens"))
+    good = 100 * common >= share * (F.size("tokens") + F.size("xtokens") - common)
+    return staged(both.select("fp", "quick", F.when(good, F.when(F.col("at") > F.col("xat"), F.col("fp")).otherwise(F.col("xfp"))).alias("late")))
 
 
 def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: int = 90) -> DataFrame:
-    """(id, key, pos, removed) for every line of every text; key is row_key(id_col, text_col).
+    """(key, pos) of every line that goes; key is row_key(id_col, text_col), pos counts from 0. No row comes twice
+    but for rows that repeat both id and text.
 
     A line is removed when an earlier line, by (id, position) with null ids last, has a set of distinct words
     with 100 * intersection >= share * union. Lines without words stay. All lines are judged on the input. Null
     texts have no lines. Rows that repeat both id and text count as one document. Extra columns are not read.
 
     Equal sets meet by hash first. Different sets reach the share only with at least ceil(share / (100 - share))
-    words; each of these is listed under its rarest words (prefix filter) and meets the earliest set of each
-    list; only those that found no match meet every earlier set of their lists. Sizes, places in the prefix and
-    the parity of 64 bits rule pairs out in the join; the rest are verified on whole sets.
+    words; each of these is listed under its rarest words (prefix filter). Sizes, places in the prefix and the
+    parity of 64 bits rule pairs out in the join; the rest are verified on whole sets.
     """
-    every = lines_of(docs, text_col, id_col)
     ranks = rarity(docs, text_col)
-    tokens = token_set(F.col("line"), ranks)
     n = F.size("tokens")
-    prefix = n - F.ceil(n * share / 100).cast("int") + 1
     least = -(-share // (100 - share)) if share < 100 else 1 << 30
-    lines = staged(every.withColumn("tokens", tokens).select(
-        "id", "key", "pos", n.alias("n"), F.xxhash64("tokens").alias("fp"),
-        F.when(n >= least, F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))).alias("sig"),
-        F.when(n >= least, F.slice("tokens", F.lit(1), prefix)).alias("prefix"),
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = staged(lines_of(docs, text_col, id_col).withColumn("tokens", token_set(F.col("line"), ranks)).select(
+        "id", "key", "pos", n.alias("n"), F.xxhash64("tokens").alias("fp"), F.when(n >= least, parity).alias("sig"),
+        F.when(n >= least, F.slice("tokens", F.lit(1), n - F.ceil(n * share / 100).cast("int") + 1)).alias("prefix"),
     ))
     at = F.struct(F.col("id").isNull().alias("null"), "id", "key", "pos")
-    first = staged(lines.where("n > 0").groupBy("fp").agg(F.min(at).alias("first")))
-    sets = lines.where("prefix is not null").join(first, "fp").where(at == F.col("first"))
-    sets = staged(sets.select("fp", "n", "sig", "prefix", "first").dropDuplicates(["fp"]))
-    listed = staged(sets.select("fp", "n", "sig", "first", F.posexplode("prefix").alias("i", "token")))
-    x = listed.select("token", *[F.col(c).alias(f"x{c}") for c in ("fp", "n", "sig", "first", "i")])
-    y = listed
-    need = F.ceil(share * (F.col("n") + F.col("xn")) / (100 + share))
-    possible = (
-        (F.col("xfirst") < F.col("first"))
-        & (share * F.greatest("n", "xn") <= 100 * F.least("n", "xn"))
-        & (1 + F.least(F.col("n") - F.col("i"), F.col("xn") - F.col("xi")) - 1 >= need)
-        & (F.bit_count(F.col("sig").bitwiseXOR(F.col("xsig"))) <= F.col("n") + F.col("xn") - 2 * need)
-    )
-    earliest = x.groupBy("token").agg(F.min(F.struct("xfirst", "xfp", "xn", "xsig", "xi")).alias("e")).select("token", "e.*")
-    pairs = y.join(earliest, "token").where(possible).select("fp", "xfp").distinct()
-    matched = _verified(pairs, sets, docs, text_col, id_col, ranks, share)
-    left = staged(sets.select("fp").join(matched, "fp", "left_anti"))
-    pairs = y.join(left, "fp").join(x, "token").where(possible).select("fp", "xfp").distinct()
-    matched = matched.unionByName(_verified(pairs, sets, docs, text_col, id_col, ranks, share))
-    late = staged(matched.distinct().select(F.col("fp").alias("lfp")))
-    facts = first.join(late, F.col("fp") == F.col("lfp"), "left").select("fp", "first", F.col("lfp").isNotNull().alias("late"))
-    out = lines.select("id", "key", "pos", "n", "fp").join(staged(facts), "fp", "left")
-    return out.select("id", "key", "pos", ((F.col("n") > 0) & (F.col("late") | (at != F.col("first")))).alias("removed"))
+    sets = lines.where("n > 0").groupBy("fp").agg(F.min(at).alias("first"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    sets = staged(sets.select("fp", "first.id", "first.key", "first.pos", "c", "n", "sig", "prefix"))
+    judged = _verified(_candidates(sets, share), sets, docs, text_col, id_col, ranks, share)
+    late = judged.where("late is not null").select(F.col("late").alias("fp")).distinct()
+    # Sets whose one quick partner fell through in the check: they meet their whole lists.
+    missed = staged(judged.where("quick and late is null").select("fp").distinct().join(late, "fp", "left_anti"))
+    if not missed.isEmpty():
+        more = _verified(_candidates(sets, share, missed), sets, docs, text_col, id_col, ranks, share)
+        late = late.union(more.where("late is not null").select(F.col("late").alias("fp"))).distinct()
+    firsts = sets.select("fp", "c", F.col("key").alias("fkey"), F.col("pos").alias("fpos")).join(late.withColumn("late", F.lit(True)), "fp", "left")
+    firsts = firsts.where("c > 1 or late").select("fp", "fkey", "fpos", F.coalesce("late", F.lit(False)).alias("late"))
+    return lines.select("key", "pos", "fp").join(firsts, "fp").where("late or key <> fkey or pos <> fpos").select("key", "pos")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, ranks: list[int], share: int) -> DataFrame:
-    """fp of the pairs whose whole sets reach the share. Sets are made again from the texts that pairs name."""
-    pairs = staged(pairs)
-    named = staged(pairs.select("fp").union(pairs.select("xfp")).distinct().join(sets.select("fp", "first.key", "first.pos"), "fp"))
-    keys = staged(named.select("key").distinct())
-    text = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    text = text.join(keys.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"])
-    wanted = named.groupBy("key").agg(F.collect_list(F.struct("pos", "fp")).alias("wanted"))
-    split = text.join(wanted, "key").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    whole = staged(split.select("w.fp", token_set(F.get("all", F.col("w.pos")), ranks).alias("tokens")))
-    both = pairs.join(whole, "fp").join(whole.select(F.col("fp").alias("xfp"), F.col("tokens").alias("xtokens")), "xfp")
-    common = F.size(F.array_intersect("tokens", "xtokens"))
-    return staged(both.where(100 * common >= share * (F.size("tokens") + F.size("xtokens") - common)).select("fp").distinct())
+def _by_document(removed: DataFrame) -> DataFrame:
+    return removed.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
 def line_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: int = 90) -> DataFrame:
     """(id_col, n_lines, n_removed, removed): removed lists line numbers from 0, joined by commas. One row for each
     row of docs, repeated rows once for each; null texts have no lines."""
-    by = removed_lines(docs, text_col, id_col, share).groupBy("key").agg(
-        F.count_distinct("pos").alias("n_lines"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("pos")))), ",").alias("removed"), F.count_distinct(F.when(F.col("removed"), F.col("pos"))).alias("n_removed"))
-    rows = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)).alias("key"))
-    return rows.join(by, "key", "left").select(id_col, F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n")))
+    rows = docs.select(F.col(id_col), row_key(F.col(id_col), F.col(text_col)).alias("key"), n.cast("long").alias("n_lines"))
+    out = rows.join(_by_document(removed_lines(docs, text_col, id_col, share)), "key", "left")
+    return out.select(id_col, "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: int = 90) -> DataFrame:
     """docs with removed lines taken out of the text; documents of which no line is left go. Texts without a
     removed line stay as they are, null and empty ones too."""
-    marks = removed_lines(docs, text_col, id_col, share).groupBy("key").agg(F.collect_set(F.struct("pos", "removed")).alias("m"))
-    marks = staged(marks.where(F.exists("m", lambda x: x["removed"])).select("key", F.transform(F.sort_array("m"), lambda x: x["removed"]).alias("gone")))
-    keyed = docs.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
-    out = keyed.join(marks.hint("shuffle_hash"), F.col("_key") == F.col("key"), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
-    out = out.withColumn("_new", F.when(F.col("gone").isNull(), docs[text_col]).otherwise(kept))
-    out = out.where(F.col("gone").isNull() | F.exists("gone", lambda g: ~g))
-    return out.select(*[F.col("_new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    marks = staged(_by_document(removed_lines(docs, text_col, id_col, share)))
+    # A row travels as one struct, so its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), row_key(F.col(id_col), F.col(text_col)).alias("at"))
+    out = rows.join(marks.hint("shuffle_hash"), F.col("at") == F.col("key"), "left")
+    text = F.col("row").getField(text_col)
+    every = F.split(text, "\n")
+    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = out.where(F.col("gone").isNull() | (F.size("gone") < F.size(every)))
+    new = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    return out.select(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
