@@ -81,9 +81,9 @@ def unique_top_or_refuse(spark, sf_dir):
     return top.groupBy("l_partkey").agg(F.max("n_top").alias("n_top"), F.max(F.when(F.col("decided"), F.col("l_suppkey"))).alias("supplier"), F.max("qty").alias("qty"))
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations""")
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations""")
 def carry_forward_label(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("label", F.when(F.col("role") == "user", F.substring("text", 1, 20)))
+    c = table(spark, sf_dir, "conversations").withColumn("label", F.when(F.col("role") == "user", F.col("text")))
     return tables.carry_forward(c, ["conv_id"], ["turn"], "label", "asked").select("conv_id", "turn", "asked")
 
 
