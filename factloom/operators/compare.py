@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import close, within_pct
-from ..functions.text import fold, same_items
+from ..functions.text import fold
 from .facts import ABSENT_STATES, as_text, blank
 from .tables import latest
 
@@ -134,10 +134,6 @@ def matrix(long: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return long.groupBy(key).pivot("field", fields).agg(F.first("cell"))
 
 
-def same_list(a: Column, b: Column) -> Column:
-    return same_items(a, b)
-
-
 def share_of_states(parities: DataFrame, by: list[str]) -> DataFrame:
     """Each state's share of a group's comparable fields."""
     n = parities.where(F.col("state") != UNKNOWN).groupBy(*by, "state").agg(F.count("*").alias("n"))

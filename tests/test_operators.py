@@ -167,3 +167,33 @@ def test_extraction(spark):
 def test_plans_push_filters_and_prune(spark):
     plan = mapping.sheet(spark, "/root/testdata/sf0.001").where("p_brand = 'Brand#1'").select("p_partkey", "unit_price")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(p_brand), EqualTo(p_brand,Brand#1)" in plan and "l_tax" not in plan.split("Physical Plan")[1]
+
+
+def test_grids(spark):
+    from factloom.operators import grid
+
+    t = spark.createDataFrame([(1, [["", "LTD", "LTD+"], ["engine", "V6", ""], ["", "turbo", "bi"], ["doors", " ", "4"]])], "t bigint, g array<array<string>>")
+    cells = grid.cells(t, "t", "g").withColumn("span", F.when(F.col("value") == "V6", 2).otherwise(1))
+    got = {(r["row"], r["label"], r["value"]) for r in grid.column_of(cells, "t", "ltd+").collect()}
+    assert got == {(1, "engine", "V6"), (2, "engine", "bi"), (3, "doors", "4")}
+    assert grid.column_of(cells, "t", "absent").count() == 0
+
+
+def test_area_counts_overlaps_once(spark):
+    from factloom.operators import grid
+
+    r = random.Random(3)
+    boxes = [(k, x, y, x + r.randrange(4), y + r.randrange(4)) for k in range(5) for x, y in [(r.randrange(9), r.randrange(9)) for _ in range(8)]]
+    df = spark.createDataFrame([(k, *map(float, b)) for k, *b in boxes], "k bigint, x0 double, y0 double, x1 double, y1 double")
+    got = {x["k"]: x["area"] for x in grid.area_of_union(df, "k").collect()}
+    for k in range(5):
+        squares = {(x, y) for j, x0, y0, x1, y1 in boxes if j == k for x in range(x0, x1) for y in range(y0, y1)}
+        assert got.get(k, 0) == len(squares)
+
+
+def test_vocabulary(spark):
+    from factloom.operators import grid
+
+    v = tables.literal(spark, [("f", "4x4", "awd"), ("f", "biturbo", "twin_turbo")], "field string, token string, canonical string")
+    rows = spark.createDataFrame([("f", "4X4"), ("f", "Bi-turbo"), ("f", "Rear Axle"), ("g", "4x4"), ("f", None)], "field string, t string")
+    assert {(r["field"], r["t"]): r["canonical"] for r in grid.canonical(rows, v, "field", F.col("t")).collect()} == {("f", "4X4"): "awd", ("f", "Bi-turbo"): "twin_turbo", ("f", "Rear Axle"): "rear_axle", ("g", "4x4"): "4x4", ("f", None): None}
