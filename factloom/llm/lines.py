@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +26,8 @@ def _bucket(h: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """The lines of a text, their other white space as spaces; null for null."""
-    return F.split(F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text), "\n")
+    other = reduce(or_, [F.contains(text, F.lit(c)) for c in "\t\x0b\f\r"])
+    return F.split(F.when(other, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text), "\n")
 
 
 def rarity(texts: DataFrame, col: str) -> list[int]:
@@ -40,9 +43,9 @@ def rarity(texts: DataFrame, col: str) -> list[int]:
 
 def token_set(line: Column, ranks: list[int]) -> Column:
     """The distinct words of a line (see _lines) as numbers, rarest first: rank of the word's bucket, then its hash."""
-    table = F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+    high = F.from_json(F.lit(json.dumps([r << 48 for r in ranks])), "array<bigint>")
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(table, _bucket(h)), F.lit(0)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(high, _bucket(h)), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
