@@ -76,8 +76,8 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
     """(fp, xfp, quick): sets that may reach the share, x not later than the other by document.
 
     Each set is listed under its rarest words, apart by size. All lists are dealt out once. In a list, a set that
-    has the same next word as an earlier one with which it surely agrees meets that one alone (quick), so a group
-    of near copies gives pairs in proportion to its size; others meet every set of the list that is not later.
+    has the same next word as an earlier one that the filters let pass meets that one alone (quick), so a group of
+    near copies gives pairs in proportion to its size; others meet every set of the list that is not later.
     only: fp of the sets to look up, none of them quick.
     """
     half = lambda n: F.floor(F.log2(n) * 2).cast("int")
@@ -92,10 +92,7 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
         x = other(listed)
         head = F.first(F.struct(*columns)).over(W.partitionBy("list", "follows").orderBy("id", "fp"))
         y = listed.withColumn("h", head).select("list", *columns, *[F.col(f"h.{c}").alias("x" + c) for c in columns])
-        far = F.col("n") + F.col("xn") - 2 * F.ceil(share * (F.col("n") + F.col("xn")) / (100 + share))
-        # Surely: at most half the differences that are allowed show, and these are few for 64 bits.
-        sure = (far <= 16) & (2 * F.bit_count(F.col("sig").bitwiseXOR(F.col("xsig"))) <= far)
-        y = y.withColumn("head", F.when((F.col("xid") < F.col("id")) & sure & _possible(share), F.col("xfp"))).select("list", *columns, "head")
+        y = y.withColumn("head", F.when((F.col("xid") < F.col("id")) & _possible(share), F.col("xfp"))).select("list", *columns, "head")
     else:
         y = listed.join(only, "fp", "left_semi").withColumn("head", F.lit(None).cast("long"))
         x = other(_marked(listed, "list", y.select("list")))
