@@ -73,7 +73,8 @@ def _marked(df: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> DataFrame:
-    """(fp, xfp, quick): sets that may reach the share, x not later than the other by document.
+    """(fp, xfp, quick): sets that may reach the share, x not later than the other by document; quick where any list
+    was cut to x alone.
 
     Each set is listed under its rarest words, apart by size. All lists are dealt out once. In a list, a set that
     has the same next word as an earlier one that the filters let pass meets that one alone (quick), so a group of
@@ -99,7 +100,7 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
     meets = F.when(F.col("head").isNotNull(), F.col("xfp") == F.col("head")).otherwise((F.col("xid") <= F.col("id")) & _possible(share))
     # The last term holds always: with it both sides have the same columns, so the lists are dealt out once.
     pairs = y.join(x, "list").where((F.col("fp") != F.col("xfp")) & meets & (F.greatest("follows", "xfollows") >= -(1 << 31)))
-    return staged(pairs.groupBy("fp", "xfp").agg(F.bool_and(F.col("head").isNotNull()).alias("quick")))
+    return staged(pairs.groupBy("fp", "xfp").agg(F.bool_or(F.col("head").isNotNull()).alias("quick")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, ranks: list[int], share: int) -> DataFrame:

@@ -115,6 +115,19 @@ def test_lines_meet_whole_lists_when_the_quick_partner_falls_through(copies, mon
     assert got == {(rows[i][0], str(p)) for i, p in removed_by_hand(rows)}
 
 
+def test_lines_meet_whole_lists_when_the_quick_partner_is_met_in_another_list_too(spark):
+    """z meets x alone under a and in the ordinary way under b; x falls through, and only a's list holds z's partner w."""
+    names = [f"c{i}" for i in range(40)]
+    place = {r["w"]: r["h"] & 63 for r in spark.createDataFrame([(n,) for n in names], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    c, other = next((m, n) for i, m in enumerate(names) for n in names[:i] if place[m] == place[n])
+    common = [f"s{i}" for i in range(16)]
+    x, w, z = ["a", "b", other, "f", *common], ["a", c, "e", "v", *common], ["a", "b", c, "e", *common]
+    counts = {"b": 10, c: 20, other: 20} | {t: 60 for t in ["e", "f", "v", *common]}
+    rows = [(1, " ".join(x)), (2, " ".join(w)), (3, " ".join(z))] + [(10 + i, " ".join([t] * n)) for i, (t, n) in enumerate(counts.items())]
+    got = {(r["doc_id"], p) for r in lines.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() for p in r["removed"].split(",") if p}
+    assert got == {(rows[i][0], str(p)) for i, p in removed_by_hand(rows)} == {(3, "0")}
+
+
 def test_lines_of_odd_documents(odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").distinct().collect()]
     gone = removed_by_hand(rows)
