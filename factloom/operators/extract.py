@@ -31,6 +31,10 @@ FACT_RULES = [
     ("year", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1),
 ]
 
+#: Most words of a quote, white space, and what words are made of.
+QUOTE_WORDS = 25
+_GAP, _INK = r"[ \t\x0B\f\r]", r"[^ \t\x0B\f\r]"
+
 
 def lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
@@ -61,19 +65,39 @@ def chunks(docs: DataFrame, most: int, text_col: str = "text", id_col: str = "do
     return at.groupBy(id_col, F.floor(F.col("_before") / most).cast("bigint").alias("chunk")).agg(F.count("*").alias("n_lines"), F.sum(n).cast("bigint").alias("n_chars"))
 
 
+def quote_round(line: Column, value: Column, at: Column, words: int = QUOTE_WORDS) -> Column:
+    """The stretch of a line that holds the value at a 1-based place: the line where it has at most `words` words,
+    else so many from half of them before the value; more only where the value itself has more."""
+    first = lambda text, n: F.regexp_extract(text, f"^{_INK}*(?:{_GAP}+{_INK}+){{0,{n}}}", 0)
+    # Read from its end, so a long line is not searched from every place.
+    left = F.reverse(first(F.reverse(F.substring(line, F.lit(1), at - 1)), words // 2))
+    least = F.concat(left, value)
+    cut = first(F.concat(least, F.substring(line, at + F.length(value), F.length(line))), words - 1)
+    cut = F.when(F.length(cut) < F.length(least), least).otherwise(cut)
+    bare = F.regexp_replace(line, f"^{_GAP}+|{_GAP}+$", "")
+    return F.when(first(bare, words - 1) == bare, bare).otherwise(cut)
+
+
 def facts(docs: DataFrame, rules: list[tuple[str, str, int]] = FACT_RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, pos, rule, nth, value, quote): every match of every rule in every line, the line (at most 200
-    characters) as its quote. All rules run in one pass over the lines."""
+    """(id_col, pos, rule, nth, value, at, line, quote): every match of every rule in every line, with the 1-based
+    place of the value in the line and the words round it as its quote. All rules run in one pass over the lines;
+    their patterns never match nothing."""
     def matches(name: str, pattern: str, group: int) -> Column:
-        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(group)), lambda v, i: F.struct(F.lit(name).alias("rule"), i.alias("nth"), v.alias("value")))
+        found = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))
+        size = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+        # What lies before a match: the pieces between the matches so far, and these.
+        before = lambda i: size(F.slice(F.split("line", pattern), F.lit(1), i + 1)) + size(F.slice(found(0), F.lit(1), i))
+        return F.transform(found(group), lambda v, i: F.struct(F.lit(name).alias("rule"), i.alias("nth"), v.alias("value"), (before(i) + F.instr(F.get(found(0), i), v)).alias("at")))
 
     found = [matches(*rule) for rule in rules]
-    return lines(docs, text_col, id_col).select(id_col, "pos", "line", F.explode(F.concat(*found)).alias("f")).select(id_col, "pos", "f.rule", F.col("f.nth").cast("int").alias("nth"), "f.value", F.substring("line", 1, 200).alias("quote"))
+    out = lines(docs, text_col, id_col).select(id_col, "pos", "line", F.explode(F.concat(*found)).alias("f"))
+    out = out.select(id_col, "pos", "f.rule", F.col("f.nth").cast("int").alias("nth"), "f.value", "f.at", "line")
+    return out.withColumn("quote", quote_round(F.col("line"), F.col("value"), F.col("at")))
 
 
 def without_negated(found: DataFrame) -> DataFrame:
-    """Facts whose value no negation governs in its quote."""
-    return found.where(~negated(F.col("quote"), F.instr("quote", F.col("value"))))
+    """Facts whose value no negation governs at its place in its line."""
+    return found.where(~negated(F.col("line"), F.col("at")))
 
 
 def best_quote(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -59,7 +59,7 @@ _FOUND = _LINES + ", f AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, line, '{
 
 @query(f"WITH {_FOUND} SELECT doc_id, CAST(pos AS BIGINT) AS pos, rule, CAST(nth AS BIGINT) AS nth, value, sha256(left(line, 200)) AS quote FROM f")
 def rule_extraction(spark, sf_dir):
-    return extract.facts(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value", F.sha2("quote", 256).alias("quote"))
+    return extract.facts(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value", F.sha2(F.substring("line", 1, 200), 256).alias("quote"))
 
 
 @query(f"""WITH {_FOUND}, q AS (SELECT rule, value, left(line, 200) AS quote FROM f), w AS (SELECT *, instr(quote, value) AS pos FROM q),
@@ -67,10 +67,34 @@ x AS (SELECT *, regexp_replace(lower(substr(quote, greatest(1, pos - 80), least(
 SELECT rule, count(*) AS n, count(*) FILTER (NOT regexp_matches(before, '{text.NEGATION}')) AS n_affirmed FROM x GROUP BY 1""")
 def negation_guard(spark, sf_dir):
     f = extract.facts(table(spark, sf_dir, "documents"))
-    ok = ~text.negated(F.col("quote"), F.instr("quote", F.col("value")))
+    q = F.substring("line", 1, 200)
+    ok = ~text.negated(q, F.instr(q, F.col("value")))
     return f.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_affirmed"))
 
 
+# A mark before each match parts the line into what is before the first match, then pieces that open with a match.
+_PLACED = _LINES + ", m AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, line, '{n}' AS rule, unnest(regexp_extract_all(line, '{p}', {g})) AS value, unnest(regexp_extract_all(line, '{p}', 0)) AS whole, generate_subscripts(regexp_extract_all(line, '{p}', {g}), 1) - 1 AS nth, string_split(regexp_replace(line, '{p}', chr(57344) || '\\0', 'g'), chr(57344)) AS parts FROM l" for n, p, g in [(n, p.replace("'", "''"), g) for n, p, g in extract.FACT_RULES]) + """),
+f AS (SELECT doc_id, pos, line, rule, nth, value, CAST(list_sum(list_transform(parts[1:nth + 1], lambda x: length(x))) AS BIGINT) + instr(whole, value) AS place FROM m)"""
+_INK, _GAP = r"[^ \t\x0B\f\r]", r"[ \t\x0B\f\r]"
+
+
+@query(f"""WITH {_PLACED}, b AS (SELECT *, regexp_extract(substr(line, 1, place - 1), '(?:{_INK}+{_GAP}+){{0,12}}{_INK}*$', 0) AS left_side, regexp_replace(line, '^{_GAP}+|{_GAP}+$', '', 'g') AS bare FROM f),
+c AS (SELECT *, regexp_extract(left_side || substr(line, place), '^{_INK}*(?:{_GAP}+{_INK}+){{0,24}}', 0) AS cut FROM b)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, rule, CAST(nth AS BIGINT) AS nth, value, place AS at, sha256(CASE WHEN len(regexp_extract_all(line, '{_INK}+')) <= 25 THEN bare ELSE cut END) AS quote FROM c""")
+def fact_quotes(spark, sf_dir):
+    """Every fact with its place and the words round it; rule_extraction quotes the line's first 200 characters."""
+    return extract.facts(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value", F.col("at").cast("bigint").alias("at"), F.sha2("quote", 256).alias("quote"))
+
+
+@query(f"""WITH {_PLACED}, x AS (SELECT rule, regexp_replace(lower(substr(line, greatest(1, place - 80), least(80, place - 1))), '(?s)^.*[.!?\n]', '') AS before FROM f)
+SELECT rule, count(*) AS n, count(*) FILTER (NOT regexp_matches(before, '{text.NEGATION}')) AS n_affirmed FROM x GROUP BY 1""")
+def negation_at_place(spark, sf_dir):
+    """Facts by rule, and how many no negation governs at their place; negation_guard looks for the value's first
+    place in the line's first 200 characters."""
+    f = extract.facts(table(spark, sf_dir, "documents"))
+    return f.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(~text.negated(F.col("line"), F.col("at"))).alias("n_affirmed"))
+
+
 @query("""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9.,/]*'), lambda x: regexp_replace(x, '[.,/]+$', ''))) AS d FROM documents),
 b AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9.,/]*'), lambda x: regexp_replace(x, '[.,/]+$', ''))) AS d FROM benchmark)
 SELECT doc_id, CAST(len(coalesce(n.d, [])) AS BIGINT) AS n_numbers, CAST(len(list_filter(coalesce(n.d, []), lambda x: NOT list_contains(coalesce(b.d, []), x))) AS BIGINT) AS n_unsupported FROM n LEFT JOIN b ON item_id = doc_id""")

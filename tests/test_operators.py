@@ -164,6 +164,18 @@ def test_extraction(spark):
     assert [r[0] for r in html.select(extract.html_text("h")).collect()] == ["Hello you\na\tb", None]
 
 
+def test_facts_are_quoted_and_judged_at_their_place(spark):
+    long = "word " * 60
+    texts = [long + "there is no mail a@b.org here", "a@b.org. " + long + "without a@b.org", "no 20015, from 2001", long + "a@b.org " + long, "é 2001 2002", long + "costs R$ 5"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    every = extract.facts(d)
+    got = every.collect()
+    assert all(r["line"][r["at"] - 1 :].startswith(r["value"]) and r["value"] in r["quote"] and r["quote"] in r["line"] and len(r["quote"].split()) <= 25 for r in got)
+    assert {(r["doc_id"], r["value"], r["at"]) for r in got} == {(0, "a@b.org", 318), (1, "a@b.org", 1), (1, "a@b.org", 318), (2, "2001", 16), (3, "a@b.org", 301), (4, "2001", 3), (5, "5", 310)}
+    assert next(r["quote"] for r in got if r["doc_id"] == 3) == "word " * 12 + "a@b.org" + " word" * 12
+    assert sorted((r["doc_id"], r["at"]) for r in extract.without_negated(every).collect()) == [(1, 1), (3, 301), (4, 3), (5, 310)]
+
+
 def test_plans_push_filters_and_prune(spark):
     plan = mapping.sheet(spark, "/root/testdata/sf0.001").where("p_brand = 'Brand#1'").select("p_partkey", "unit_price")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(p_brand), EqualTo(p_brand,Brand#1)" in plan and "l_tax" not in plan.split("Physical Plan")[1]
