@@ -146,19 +146,31 @@ def url_keys(spark, sf_dir):
 _CLASS = "CASE WHEN host = '' THEN 'rejected' WHEN starts_with(host, 'spam') THEN 'rejected' WHEN host LIKE '%.org' THEN 'official' WHEN starts_with(host, 'blog.') THEN 'press' ELSE 'other' END"
 
 
-@query(f"WITH {_URL}, c AS (SELECT page_id, host, url, {_CLASS} AS class FROM k) SELECT page_id, class, CAST(CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 WHEN 'other' THEN 4 END AS BIGINT) AS tier, class <> 'rejected' AS accepted, place FROM (SELECT *, row_number() OVER (ORDER BY class = 'rejected', CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 ELSE 4 END, url, page_id) AS place FROM c) WHERE place <= 100")
-def url_classify(spark, sf_dir):
-    """A report of the hundred best sources: accepted ones first, then by tier and address."""
+def _classified(spark, sf_dir):
     h = text.host(F.col("url"))
     kind = F.when(h == "", "rejected").when(h.startswith("spam"), "rejected").when(h.endswith(".org"), "official").when(h.startswith("blog."), "press").otherwise("other")
     c = table(spark, sf_dir, "pages").select("page_id", "url", kind.alias("class"))
     tier = F.when(F.col("class") == "official", 1).when(F.col("class") == "press", 3).when(F.col("class") == "other", 4)
-    c = c.withColumn("tier", tier.cast("bigint")).withColumn("accepted", F.col("class") != "rejected")
+    return c.withColumn("tier", tier.cast("bigint")).withColumn("accepted", F.col("class") != "rejected")
+
+
+def _best_first():
+    return F.desc("accepted"), F.coalesce("tier", F.lit(4)), "url", "page_id"
+
+
+@query(f"WITH {_URL}, c AS (SELECT page_id, host, url, {_CLASS} AS class FROM k) SELECT page_id, class, CAST(CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 WHEN 'other' THEN 4 END AS BIGINT) AS tier, class <> 'rejected' AS accepted, place FROM (SELECT *, row_number() OVER (ORDER BY class = 'rejected', CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 ELSE 4 END, url, page_id) AS place FROM c) WHERE place <= 100")
+def url_classify(spark, sf_dir):
+    """A report of the hundred best sources: accepted ones first, then by tier and address."""
     from pyspark.sql import Window as W
 
-    best = c.orderBy(F.desc("accepted"), F.coalesce("tier", F.lit(4)), "url", "page_id").limit(100)
-    order = W.orderBy(F.desc("accepted"), F.coalesce("tier", F.lit(4)), "url", "page_id")
-    return best.withColumn("place", F.row_number().over(order).cast("bigint")).select("page_id", "class", "tier", "accepted", "place")
+    best = _classified(spark, sf_dir).orderBy(*_best_first()).limit(100)
+    return best.withColumn("place", F.row_number().over(W.orderBy(*_best_first())).cast("bigint")).select("page_id", "class", "tier", "accepted", "place")
+
+
+@query(f"WITH {_URL}, c AS (SELECT page_id, host, url, {_CLASS} AS class FROM k) SELECT page_id, url, class, CAST(CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 WHEN 'other' THEN 4 END AS BIGINT) AS tier, class <> 'rejected' AS accepted FROM c ORDER BY class = 'rejected', CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 ELSE 4 END, url, page_id")
+def url_classes(spark, sf_dir):
+    """Every page with its class, the best first by a range sort; url_classify is the head of it."""
+    return _classified(spark, sf_dir).orderBy(*_best_first())
 
 
 _DOMAINS = [("example.com", "approved"), ("blog.example.com", "rejected"), ("example.org", "approved"), ("example", "rejected"), ("net", "rejected")]

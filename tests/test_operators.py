@@ -176,6 +176,15 @@ def test_facts_are_quoted_and_judged_at_their_place(spark):
     assert sorted((r["doc_id"], r["at"]) for r in extract.without_negated(every).collect()) == [(1, 1), (3, 301), (4, 3), (5, 310)]
 
 
+def test_every_page_is_classified_the_best_first(spark, tmp_path):
+    from factloom import catalogue
+
+    urls = [f"https://site{i:03}.org/" for i in range(120)] + [f"https://{h}/" for h in ("spam.net", "blog.a.net", "b.net")]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in catalogue.QUERIES["url_classes"](spark, str(tmp_path)).select("page_id", "class", "tier", "accepted").collect()]
+    assert got == [(i, "official", 1, True) for i in range(120)] + [(121, "press", 3, True), (122, "other", 4, True), (120, "rejected", None, False)]
+
+
 def test_plans_push_filters_and_prune(spark):
     plan = mapping.sheet(spark, "/root/testdata/sf0.001").where("p_brand = 'Brand#1'").select("p_partkey", "unit_price")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(p_brand), EqualTo(p_brand,Brand#1)" in plan and "l_tax" not in plan.split("Physical Plan")[1]
