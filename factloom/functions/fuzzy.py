@@ -47,17 +47,17 @@ def folded(text: str) -> str:
 
 
 #: Characters that a window is wider than the quote, and the least score of a match.
-WINDOW, LEAST = 160, 92.0
+WINDOW, LEAST = 300, 92.0
 _NUMBER = re.compile(r"\d[\d.,/]*")
 
 
 def best_window(quote: str, text: str) -> tuple[float, int]:
-    """(score, start) of the best window of the text; windows overlap by half."""
+    """(score, start) of the best window of the text; every place of the quote lies whole in a window."""
     width = len(quote) + WINDOW
     if len(text) <= width:
         return partial_ratio(quote, text), 0
     best, at = 0.0, -1
-    for start in range(0, len(text) - 1, max(width // 2, 1)):
+    for start in range(0, len(text) - 1, min(width // 2, WINDOW)):
         if (s := partial_ratio(quote, text[start : start + width])) > best:
             best, at = s, start
             if s >= 100:

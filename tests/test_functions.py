@@ -64,6 +64,14 @@ def test_ratio():
     assert fuzzy.locate("torque of 583 nm at the rear axle", "a torqve of 583 nm at the rear axle here")[0] == "fuzzy"
 
 
+def test_windows_hold_every_place_of_a_quote(monkeypatch):
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda quote, window: 100.0 * (quote in window))
+    for n in (1, 34, 250, 300, 1000):
+        quote = "q" * n
+        for offset in range(3 * (n + fuzzy.WINDOW)):
+            assert fuzzy.best_window(quote, "x" * offset + quote + "x" * 2000)[0] == 100
+
+
 def test_common_is_a_longest_common_subsequence():
     import random
 
