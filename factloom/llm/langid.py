@@ -22,13 +22,13 @@ CODES = 256**3
 class Kernel:
     """Presence of all byte runs of one to three letters, blended; landmarks are texts' own sets.
 
-    The feature space is what the landmarks hold: k(x, y) = |x and y| / sqrt(|x| |y|) over the runs that occur
-    in some landmark. Runs of three bytes or fewer are numbered exactly, so nothing is hashed.
+    The feature space is what the texts of the fit hold: k(x, y) = |x and y| / sqrt(|x| |y|) over the runs that
+    occur in some of them. Runs of three bytes or fewer are numbered exactly, so nothing is hashed.
     """
 
-    def __init__(self, landmarks: list[bytes]):
+    def __init__(self, texts: list[bytes]):
         seen = np.zeros((CODES + 2 * 65536), bool)
-        for t in landmarks:
+        for t in texts:
             for codes in _codes(fold(np.frombuffer(t, np.uint8))):
                 seen[codes] = True
         self.vocabulary = np.flatnonzero(seen).astype(np.int32)
@@ -71,19 +71,30 @@ def _codes(b: np.ndarray) -> list[np.ndarray]:
     return [x + CODES, two + (CODES + 65536), two[:-1] << 8 | x[2:]]
 
 
+def shares(labels: list[str], n: int) -> list[int]:
+    """Places of n labels, or one of each where that is more: the first of each label, the second of each, and so on."""
+    met: dict[str, int] = {}
+    turn = []
+    for label in labels:
+        met[label] = met.get(label, 0) + 1
+        turn.append(met[label])
+    return sorted(sorted(range(len(labels)), key=lambda i: (turn[i], i))[: max(n, len(met))])
+
+
 class Classifier:
     """One-versus-rest kernel ridge regression on Nyström features; scores are products with one matrix."""
 
     def __init__(self, texts: list[bytes], labels: list[str], landmarks: int, ridge: float):
         self.labels = sorted(set(labels))
-        self.kernel = Kernel(texts[:landmarks])
-        marks = self._unit(self._all(texts[:landmarks]))
-        x = self._unit(self._all(texts))
-        kmm, knm = marks @ marks.T, x @ marks.T
+        self.kernel = Kernel(texts)
+        marks = self._unit(self._all([texts[i] for i in shares(labels, landmarks)]))
+        # A few texts at a time, so the driver never holds all of them over the whole feature space.
+        knm = np.vstack([self._unit(self._all(texts[i : i + 256])) @ marks.T for i in range(0, len(texts), 256)])
+        kmm = marks @ marks.T
         values, vectors = np.linalg.eigh(kmm.astype(np.float64))
         good = values > 1e-6 * values[-1]
         half = vectors[:, good] / np.sqrt(values[good])
-        z = np.hstack([knm @ half, np.ones((len(x), 1))])
+        z = np.hstack([knm @ half, np.ones((len(texts), 1))])
         y = np.where(np.array(labels)[:, None] == np.array(self.labels)[None, :], 1.0, -1.0)
         w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y)
         # (presence @ marks.T) @ half @ w, with the products of the fixed matrices taken first.

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,19 @@ def test_training_never_sees_held_out_labels(spark):
     assert a.labels == b.labels and (a.weights == b.weights).all()
 
 
+def test_a_language_of_few_rows_has_landmarks():
+    r = random.Random(1)
+    some = lambda letters: " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(30))
+    labels = ["aa"] * 300 + ["bb"] * 300 + ["cc"] * 10
+    letters = {"aa": "abcdefgh", "bb": "stuvwxyz", "cc": "абвгдежз"}
+    model = langid.Classifier([some(letters[label]).encode() for label in labels], labels, 256, 1.0)
+    for label in letters:
+        text = some(letters[label]).encode()
+        scores = model.scores(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert model.labels[int(scores.argmax())] == label
+    assert len(langid.shares(labels, 256)) == 256 and langid.shares(["x", "x", "y", "x"], 1) == [0, 2]
+
+
 # -- mixing
 def targets_by_hand(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
