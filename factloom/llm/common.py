@@ -100,7 +100,17 @@ def list_column(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Concatenation of arange(start, start + count)."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+#: A record is common when more than 1 in COMMON_RECORDS of all rows meet it.
+COMMON_RECORDS = 10_000
+
+
+def meet(rows: DataFrame, records: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to records, unique by `on`, by inner or left join; records' column `count` is the number of rows
+    that meet a record, total that of all rows. `on` has no nulls.
+
+    Rows of a common record meet it where they lie: there are fewer than COMMON_RECORDS such records, so they are
+    broadcast. Only the others are dealt by `on`."""
+    common = records.where(F.col(count) * COMMON_RECORDS > total).drop(count)
+    near = rows.join(F.broadcast(common), on)
+    far = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(records.drop(count), on, how)
+    return near.unionByName(far)

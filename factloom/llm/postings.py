@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK = "bucket int, keys binary, sizes binary, counts binary, hashes binary, dfs binary, pay binary"
 
@@ -47,10 +48,51 @@ def note(bucket: int, keys: np.ndarray, sizes: np.ndarray, pay: np.ndarray, flag
     return pa.record_batch([pa.array([bucket], pa.int32()), one(keys, np.int64), one(sizes, np.int32), none, none, one(flags, np.int32), one(pay, np.int64)], names=["bucket", "keys", "sizes", "counts", "hashes", "dfs", "pay"])
 
 
+#: A hash is hot when it has more postings than 1 for COMMON documents, counted in the map slices that hold it often.
+COMMON = 3000
+#: Postings of a hash in a slice that are enough to name it, at least.
+OFTEN = 8
+
+
+def often(h: np.ndarray, docs: int) -> pa.RecordBatch:
+    """The hashes that a slice of some documents holds often, with how often; h: its postings."""
+    least = max(OFTEN, docs // COMMON)
+    s = np.sort(h)
+    # In sorted order the item `least` places on is still the same only inside such runs.
+    far = s[: max(0, len(s) - least + 1)]
+    value = np.unique(far[far == s[least - 1 :]]) if len(far) else far
+    runs = np.searchsorted(s, value, side="right") - np.searchsorted(s, value)
+    return pa.record_batch([pa.array(value.view(np.int64)), pa.array(runs.astype(np.int64))], names=["h", "c"])
+
+
+def hot(counts: DataFrame, docs: int) -> dict[int, int]:
+    """Hashes with more postings than 1 for COMMON documents, with their counts in the slices that named them.
+
+    counts: h, c from often(). At most COMMON times the mean number of postings of a document come back, whatever
+    the number of documents: this bounds what is sent to tasks."""
+    found = counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(OFTEN, docs // COMMON))
+    return {r["h"]: r["c"] for r in found.collect()}
+
+
+def apart(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a posting's hash is hot, its count or 0). known: the hot hashes sorted, their counts."""
+    if not len(known[0]):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int32)
+    at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+    is_hot = known[0][at] == h
+    return is_hot, np.where(is_hot, known[1][at], 0).astype(np.int32)
+
+
+def sorted_hot(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    h = np.array(list(found), np.int64).view(np.uint64)
+    by = np.argsort(h)
+    return h[by], np.minimum(np.array(list(found.values()), np.int64)[by], 2**31 - 1)
+
+
 def _notes(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches without notes; notes are put into out."""
+    """The batches without notes; notes, and postings that are counted already, are put into out."""
     for batch in batches:
-        is_note = pc.equal(pc.binary_length(batch.column("hashes")), 0)
+        is_note = pc.or_(pc.equal(pc.binary_length(batch.column("hashes")), 0), pc.greater(pc.binary_length(batch.column("dfs")), 0))
         if pc.any(is_note).as_py():
             out.append(batch.filter(is_note))
             batch = batch.filter(pc.invert(is_note))
@@ -72,7 +114,9 @@ def shared(chunks: DataFrame, buckets: int, finish: Callable, schema: str, disti
 
     chunks: rows of CHUNK from pack(). finish(keys, sizes, starts, counts, hashes, dfs, pay) -> RecordBatch of
     schema gets all documents of a task at once, postings of a document together. distinct_keys: a hash counts
-    once for each key; else each posting counts. finish_note(row of CHUNK as a dict) -> RecordBatch of schema.
+    once for each key; else each posting counts. Rows of chunks that have dfs go to their documents uncounted:
+    postings of hot hashes, which would fill one task of the counting step; such rows stand in the bucket of
+    their key. finish_note(row of CHUNK as a dict) -> RecordBatch of schema.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +154,16 @@ def shared(chunks: DataFrame, buckets: int, finish: Callable, schema: str, disti
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notes: list[pa.RecordBatch] = []
-        g = _gather(_notes(batches, notes))
+
+        def postings() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_note = pc.equal(pc.binary_length(batch.column("hashes")), 0)
+                if pc.any(is_note).as_py():
+                    notes.append(batch.filter(is_note))
+                    batch = batch.filter(pc.invert(is_note))
+                yield batch
+
+        g = _gather(postings())
         for batch in notes:
             for row in batch.to_pylist():
                 yield finish_note(row)
