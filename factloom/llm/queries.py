@@ -44,7 +44,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op5_url_filter(spark, sf_dir):
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    literal = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "action"), rule, strict=True)]) for rule in RULES])
+    rules = spark.range(1).select(F.inline(literal))
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

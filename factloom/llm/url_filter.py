@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, meet, staged
 
 #: Rules up to this number are broadcast; beyond it both sides are dealt by salted hash prefix.
 BROADCAST_RULES = 100_000
@@ -35,9 +35,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rule: rule null, verdict default. Rules with a null part, or an empty host, fit nothing. Columns of pages
     named host, path, rule or verdict are replaced.
 
-    Each url makes one expression for each suffix of its host and each length of its path that some rule has
-    (host suffixes only up to the longest rule's labels), so expressions grow with the rules' shapes, not with
-    their number. Expressions meet rules on four bytes of their digest; the full digest then has to agree.
+    Each host and path, once, makes one expression for each suffix of the host and each length of the path that
+    some rule has (host suffixes only up to the longest rule's labels), so expressions grow with the rules' shapes,
+    not with their number. Expressions meet rules on four bytes of their digest; the full digest then has to agree.
+    Rows get their verdict by host and path; those that very many rows have are broadcast.
     """
     spark = pages.sparkSession
     r = rules.where("host is not null and path is not null and host <> ''").select(
@@ -46,25 +47,29 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     digest = _digest(F.col("rhost"), F.col("rpath"))
     r = r.select("rhost", "rpath", "raction", digest.alias("rdigest"), F.substring(digest, 1, 8).alias("rprefix"))
     shape = r.agg(F.collect_set(F.length("rpath")).alias("lengths"), F.max(F.size(F.split("rhost", r"\."))).alias("labels"), F.count("*").alias("n")).first()
-    host, path = host_and_path(F.col(url_col))
-    base = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    # A row travels as one struct, so its columns may have any names.
+    host, path = host_and_path(F.col("row").getField(url_col))
+    base = pages.select(F.struct("*").alias("row")).select("row", host.alias("h"), path.alias("p"))
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [F.col("row").getField(c).alias(c) for c in names]
     if not shape["n"]:
-        return base.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    kept = [c for c in base.columns]
-    base = base.withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
+        return base.select(*kept, F.col("h").alias("host"), F.col("p").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    places = staged(base.groupBy("h", "p").agg(F.count("*").alias("c")))
+    labels = F.split("h", r"\.")
     depth = F.least(F.size(labels), F.lit(shape["labels"]))
-    suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(labels, -k, k), ".")))
-    lengths = F.filter(F.array(*[F.lit(x) for x in sorted(shape["lengths"])]), lambda n: n <= F.length("path"))
-    expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(lengths, lambda n: F.struct(h.alias("h"), F.substring(F.col("path"), F.lit(1), n).alias("p")))))
-    e = base.select("_row", "host", "path", F.explode(expressions).alias("e")).select("_row", "e.h", "e.p", _digest(F.col("e.h"), F.col("e.p")).alias("digest"))
+    suffixes = F.when(F.col("h") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(labels, -k, k), ".")))
+    lengths = F.filter(F.array(*[F.lit(x) for x in sorted(shape["lengths"])]), lambda n: n <= F.length("p"))
+    expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(lengths, lambda n: F.struct(h.alias("h"), F.substring(F.col("p"), F.lit(1), n).alias("p")))))
+    e = places.withColumn("e", F.explode(expressions)).select("h", "p", "c", F.col("e.h").alias("eh"), F.col("e.p").alias("ep")).withColumn("digest", _digest(F.col("eh"), F.col("ep")))
     e = e.withColumn("prefix", F.substring("digest", 1, 8))
     if shape["n"] <= BROADCAST_RULES:
         hit = e.join(F.broadcast(r), F.col("prefix") == F.col("rprefix"))
     else:
         salted = r.withColumn("rsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = e.withColumn("salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, (F.col("prefix") == F.col("rprefix")) & (F.col("salt") == F.col("rsalt")))
-    hit = hit.where((F.col("digest") == F.col("rdigest")) & (F.col("h") == F.col("rhost")) & (F.col("p") == F.col("rpath")))
+        hit = e.withColumn("salt", F.pmod(F.hash("h", "p"), F.lit(SALTS))).join(salted, (F.col("prefix") == F.col("rprefix")) & (F.col("salt") == F.col("rsalt")))
+    hit = hit.where((F.col("digest") == F.col("rdigest")) & (F.col("eh") == F.col("rhost")) & (F.col("ep") == F.col("rpath")))
     rank = F.struct((F.length("rhost") + F.length("rpath")).alias("a"), F.length("rhost").alias("b"), F.concat("rhost", "rpath").alias("rule"), F.col("raction").alias("action"))
-    best = hit.groupBy("_row").agg(F.max(rank).alias("best"))
-    return base.join(best, "_row", "left").select(*kept, F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    best = staged(hit.groupBy("h", "p").agg(F.max(rank).alias("best"), F.first("c").alias("c")))
+    total = places.agg(F.sum("c").alias("n")).first()["n"] or 0
+    judged = meet(base, best, ["h", "p"], "c", total, "left")
+    return judged.select(*kept, F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
