@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -118,23 +116,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = 300, max_bytes: int = 20_000, landmarks: int = 256, ridge: float = 1.0) -> Classifier | None:
-    """Fit on at most per_lang rows of each language, those of smallest hash among rows that are not held out and
-    whose text has at most max_bytes bytes (both bound what the driver holds; languages are taken to be few). Rows
-    equal in id and text count once. None without a labelled row.
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = 300, max_bytes: int = 4_000_000, landmarks: int = 256, ridge: float = 1.0) -> Classifier | None:
+    """Fit on at most per_lang rows of each language of together max_bytes bytes, or one row (both bound what the
+    driver holds; languages are taken to be few). Rows that are not held out come in the order of a hash, those of
+    more than a hundredth of max_bytes last, so a language of long texts alone is learned from them. Rows equal in
+    id and text count once. Null texts, texts without a letter and rows of null id or language teach nothing. None
+    without a labelled row.
 
-    Hashes alone settle which rows these are; their texts are read in a second pass, so what tasks send doesn't
-    grow with their number."""
+    Hashes and sizes alone settle which rows these are; their texts are read whole in a second pass, so what tasks
+    send doesn't grow with their number."""
     lang, text = F.col(lang_col), F.col(text_col)
-    train = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.octet_length(text) <= max_bytes) & text.rlike(r"\p{L}"))
-    train = train.select(lang.alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(11)).alias("h"), text.alias("text"))
-    first = train.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_lang)
-    last = first.groupBy("lang").agg(F.max("h").alias("last")).collect()
-    chosen = [(F.col("lang") == r["lang"]) & (F.col("h") <= r["last"]) for r in last]
-    if not chosen:
-        return None
-    rows = sorted(tuple(r) for r in train.where(reduce(or_, chosen)).dropDuplicates(["lang", "h"]).select("h", "lang", "text").collect())
-    return Classifier([r[2].encode() for r in rows], [r[1] for r in rows], landmarks, ridge)
+    train = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & text.rlike(r"\p{L}"))
+    train = train.select(lang.alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(11)).alias("h"), F.octet_length(text).alias("bytes"), text.alias("text"))
+    order = [F.col("bytes") > max_bytes // 100, "h"]
+    first = train.select("lang", "h", "bytes").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_lang)
+    sums = W.partitionBy("lang").orderBy("n")
+    first = first.withColumn("sum", F.sum("bytes").over(sums)).where((F.col("sum") <= max_bytes) | (F.col("n") == 1))
+    chosen = first.select(F.col("lang").alias("l"), F.col("h").alias("k")).distinct()
+    # At most per_lang short rows a language.
+    found = train.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")))
+    rows = sorted(tuple(r) for r in found.dropDuplicates(["lang", "h"]).select("h", "lang", "text").collect())
+    return Classifier([r[2].encode() for r in rows], [r[1] for r in rows], landmarks, ridge) if rows else None
 
 
 def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text", id_col: str = "doc_id", passing: list[str] | None = None) -> DataFrame:
