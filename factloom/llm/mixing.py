@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import row_key, staged
 
-#: Key ranges of a source; each is summed and scanned in a task of its own.
-RANGES = 1024
+#: Fewest key ranges of a source, and about how many rows of a source there are in each; a range is summed and
+#: scanned in one task.
+RANGES, ROWS = 1024, 262_144
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 
@@ -47,12 +48,14 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     place; which of them is cut makes no difference to the rows returned. Extra columns are not read.
 
     The rows are cut into ranges of the random key within each source; prefix sums run over the ranges' totals,
-    then inside each range, so a source of any share spreads over RANGES tasks.
+    then inside each range. Ranges grow in number with the rows, so a range of a source of any share stays small.
     """
     key = F.xxhash64(row_key(F.col(id_col), F.col(text_col)), F.lit(seed))
     d = staged(docs.select(
         F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_row"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("k"),
-    ).withColumn("range", F.shiftrightunsigned("k", 64 - RANGES.bit_length() + 1).cast("int")))
+    ))
+    bits = (max(RANGES, -(-d.count() // ROWS)) - 1).bit_length()
+    d = d.withColumn("range", F.shiftrightunsigned("k", 64 - bits).cast("int"))
     sums = staged(d.groupBy("source", "range").agg(F.sum("size").alias("s")))
     sources = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, epochs)
     by = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
