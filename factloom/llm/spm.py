@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Parts and pairs of pieces that a worker remembers; older ones are forgotten and worked out anew.
-PARTS, PAIRS = 400_000, 1_000_000
+#: Characters of parts and pairs of pieces that a worker remembers; older ones are forgotten and worked out anew.
+PARTS, PAIRS = 8_000_000, 1_000_000
+#: Longest part that is remembered.
+LONG = 200
 
 
 class Model:
@@ -60,6 +62,8 @@ class Model:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
+        self.held = 0
+        self.longest = max(map(len, self.ids))
         self.known = re.compile("[" + re.escape("".join(sorted(self.chars))) + "]+|.", re.S)
 
     def merge(self, text: str) -> list[str]:
@@ -97,16 +101,18 @@ class Model:
 
     def walk(self, text: str) -> list[str]:
         """Pieces of a run of known characters without repeated spaces."""
-        longest, shorter, fits = self.automaton.iter_long, self.shorter, self.fits
+        shorter, fits, reach = self.shorter, self.fits, self.longest
+        # The automaton takes a copy of what it is given: of a long text it gets no more than a piece can need.
+        longest = self.automaton.iter_long
         out: list[str] = []
         last, at, end = "", 0, len(text)
-        failed = 0  # bit i: no way on from place i
-        piece = next(longest(text))[1]
+        failed = bytearray(end // 8 + 1)  # bit i: no way on from place i
+        piece = next(longest(text[:reach]))[1]
         while at < end:
-            while piece is not None and (failed >> (at + len(piece)) & 1 or not fits(last, piece)):
+            while piece is not None and (failed[at + len(piece) >> 3] >> (at + len(piece) & 7) & 1 or not fits(last, piece)):
                 piece = shorter[piece]
             if piece is None:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
                 last = out[-1] if out else ""
@@ -116,7 +122,7 @@ class Model:
                 last = piece
                 at += len(piece)
                 if at < end:
-                    piece = next(longest(text, at))[1]
+                    piece = next(longest(text[at : at + reach]))[1]
         return out
 
     def part(self, text: str) -> tuple[str, str]:
@@ -158,9 +164,12 @@ class Model:
         for p in _PARTS.findall(" " + text.replace(MARK, " ")):
             r = self.parts.get(p)
             if r is None:
-                if len(self.parts) > PARTS:
-                    self.older, self.parts = self.parts, {}
-                r = self.parts[p] = self.older.get(p) or self.part(p)
+                r = self.older.get(p) or self.part(p)
+                if len(p) <= LONG:
+                    self.held += len(p)
+                    if self.held > PARTS:
+                        self.older, self.parts, self.held = self.parts, {}, 0
+                    self.parts[p] = r
             got.append(r)
         return ",".join([r[0] for r in got]), "".join([r[1] for r in got])[1:]
 
