@@ -84,14 +84,15 @@ def resolve(captures: DataFrame) -> DataFrame:
 def captures_of_pages(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """A capture log made of a table of pages, to run resolve() on: each page is a response at ts = 10 * id; one
     with an id divisible by 7 is only revisited. Later it is revisited twice, once with the response's entity
-    tag and once, where the id is odd, with another, else with only the date of change."""
-    pid = F.coalesce(F.col(id_col), F.lit(0))
+    tag and once, where the id is odd, with another, else with only the date of change. A page without an id has
+    the two revisits alone, of null record_id, ts and locator, so they resolve to 'no_response'."""
+    pid = F.col(id_col)
     tag = F.concat(F.lit('"'), F.md5(F.coalesce(F.col(html_col), F.lit(""))), F.lit('"'))
     modified = pid.cast("string")
     text = lambda x: F.lit(x)
     record = lambda i, kind, ts, headers: F.struct((pid * 3 + i).alias("record_id"), F.lit(kind).alias("kind"), ts.alias("ts"), headers.alias("headers"))
     full = F.create_map(text("etag"), tag, text("last-modified"), modified, text("content-type"), text("text/html"), text("content-length"), F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).cast("string"), text("date"), (pid * 10).cast("string"))
     same = F.create_map(text("etag"), F.concat(F.lit("W/"), tag), text("date"), (pid * 10 + 5).cast("string"), text("cache-control"), text("max-age=60"), text("content-length"), text("0"))
-    other = F.when(pid % 2 == 1, F.create_map(text("etag"), text('"other"'))).otherwise(F.create_map(text("last-modified"), modified, text("expires"), text("0")))
+    other = F.when(F.coalesce(pid, F.lit(0)) % 2 == 1, F.create_map(text("etag"), text('"other"'))).otherwise(F.create_map(text("last-modified"), modified, text("expires"), text("0")))
     log = F.filter(F.array(record(0, "response", pid * 10, full), record(1, "revisit", pid * 10 + 5, same), record(2, "revisit", pid * 10 + 7, other)), lambda r: (pid % 7 != 0) | (r["kind"] == "revisit"))
     return pages.select(F.col(url_col).alias("url"), F.concat(F.lit("page:"), pid.cast("string")).alias("locator"), F.explode(log).alias("r")).select("url", "locator", "r.*")
