@@ -7,6 +7,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from factloom.llm import embed, lines, ngram_join, substring
 
 SEP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,9 +46,9 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def near(rows):
-    sets = [shingles(t) for _, t in rows]
-    link = lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+def near(rows, n=5, share=75):
+    sets = [shingles(t, n) for _, t in rows]
+    link = lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j])
     cls = classes([r[0] for r in rows], link)
     return sorted(((r[0], len(s), c) for r, s, c in zip(rows, sets, cls, strict=True)), key=str)
 
@@ -61,6 +63,24 @@ def test_near_duplicates(spark, copies, odd, nothing, monkeypatch):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_a_chain_of_shared_ngrams_costs_in_proportion(spark, monkeypatch):
+    """Neighbours share a rare part, so all documents are one block, yet hardly any link: rows that meet grow with them."""
+    r = random.Random(8)
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    met, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda tiles, *a: (met.append(tiles.count()), linked(tiles, *a))[1])
+    costs = []
+    for n in (100, 400):
+        part = [" ".join(f"p{i}x{r.randrange(10**6)}" for _ in range(10)) for i in range(n + 1)]
+        tail = [" ".join(f"t{r.randrange(10**6)}" for _ in range(2)) for _ in range(n)]
+        rows = [(i, f"{part[i]} {tail[i]} {part[i + 1]}") for i in range(n)] + [(n, f"{part[0]} {tail[0]} {part[1]} more")]
+        met.clear()
+        got = [tuple(x) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), n=3, share=45).collect()]
+        assert sorted(got, key=str) == near(rows, 3, 45)
+        costs.append(sum(met))
+    assert costs[1] < 5 * costs[0]
+
+
 def test_t_occurrence_finds_what_a_scan_finds():
     import numpy as np
 
@@ -168,6 +188,27 @@ def test_repeats(spark, odd, copies, nothing):
     assert substring.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_of_frequent_seeds_and_of_equal_hashes(spark, copies, monkeypatch):
+    """Lists of two occurrences; then all seeds in one list, and all windows under one number: words decide."""
+    rows = [(r["doc_id"], r["text"]) for r in copies.select("doc_id", "text").collect()]
+    want = sorted((str(d), k) for (d, _), k in zip(rows, cut_by_hand([t for _, t in rows], 6), strict=True))
+    for name, value in (("LIST", 2), ("hash_words", lambda words: 1), ("mix", lambda h: h * 0 + 5)):
+        monkeypatch.setattr(substring, name, value)
+        assert sorted((str(r["doc_id"]), r["kept"]) for r in substring.remove_repeats(copies, window=6, seed=3).collect()) == want
+
+
+def test_maximal_repeats(spark):
+    """A passage of three documents, longer than seeds' windows reach, is one repeat a place, with a partner and its place."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    texts = ["a0 a1 " + passage + " a2", passage, "b0 " + passage + " b1 " + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    key = {r["k"]: r["doc_id"] for r in df.select("doc_id", substring.row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    got = {(key[r["key"]], r["start"], r["end"], key[r["other"]], r["shift"]) for r in substring.repeats(substring.matches(df)).collect()}
+    starts = {(0, 2), (1, 0), (2, 1), (2, 202)}
+    assert {(d, s) for d, s, e, _, _ in got if e - s == 200} == starts
+    assert all((o, s + x) in {(d, p + s - q) for d, p in starts for q in [next(y for e, y in starts if e == k and y <= s < y + 200)]} for k, s, _, o, x in got)
+
+
 def test_repeat_across_slices(spark, monkeypatch):
     monkeypatch.setattr(substring, "SLICE", 50)
     r = random.Random(1)
@@ -211,10 +252,10 @@ def test_vectors(spark, monkeypatch):
     assert embed.near_vectors(df.limit(0)).count() == 0
 
 
-def test_report_digest_is_of_kept_words(spark):
+def test_report_digest_is_of_kept_words(spark, tmp_path):
     from factloom.llm import queries
 
     t = " ".join(f"w{i}" for i in range(40))
-    spark.createDataFrame([(1, t), (2, t + " end"), (3, None)], "doc_id bigint, text string").write.mode("overwrite").parquet("file:///tmp/checkpoints/factloom-test/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.op8_substring_dedup(spark, "file:///tmp/checkpoints/factloom-test").collect()}
+    spark.createDataFrame([(1, t), (2, t + " end"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_substring_dedup(spark, str(tmp_path)).collect()}
     assert got[2]["kept_sha256"] == hashlib.sha256(b"end").hexdigest() and got[1]["n_removed"] == 40 and got[3]["n_words"] == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -172,7 +173,10 @@ def test_exact_dedup(spark, odd, copies, tmp_path, files_per_batch, digest):
     table = spark.read.parquet(str(tmp_path / "t"))
     got = exact_dedup.deduplicate(spark, str(tmp_path / "t"), table.schema, digest=digest, files_per_batch=files_per_batch)
     found = sorted((tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str)
-    assert found == kept_by_hand(rows) and all(r["keep_place"].startswith("file:") for r in got.collect())
+    assert found == kept_by_hand(rows) and all(r["keep_place"]["file"].startswith("file:") for r in got.collect())
+    if digest is exact_dedup.sha256:  # the locator leads to the row that stays
+        at = {(r["file"], r["row"]): r["doc_id"] for r in table.select("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).collect()}
+        assert all(at[tuple(r["keep_place"])] == r["keep_id"] for r in got.collect())
 
 
 def test_exact_dedup_of_nothing(spark, nothing, tmp_path):
@@ -180,7 +184,67 @@ def test_exact_dedup_of_nothing(spark, nothing, tmp_path):
     assert exact_dedup.deduplicate(spark, str(tmp_path / "t"), nothing.schema).count() == 0
 
 
+def test_language_scores_are_those_of_the_plain_kernel(spark):
+    """Sets of byte runs, their kernel and the ridge regression written out, against the operator's products."""
+    r = random.Random(2)
+    alphabet = {"aa": "abcde ", "bb": "defgh ", "cc": "xyzé "}
+    texts = [(i, "".join(r.choices(alphabet[lang], k=40)), lang) for i in range(90) for lang in [r.choice(sorted(alphabet))]]
+    model = langid.Classifier([t.encode() for _, t, _ in texts], [x for _, _, x in texts], 20, 1.0)
+
+    def runs(text):
+        b = bytes(x if chr(x).isalpha() or x >= 128 else 32 for x in text.lower().encode())
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    sets = [runs(t) for _, t, _ in texts]
+    every = set().union(*sets)
+    k = lambda x, y: len(x & y) / math.sqrt(max(len(x), 1) * max(len(y), 1))
+    marks = [sets[i] for i in langid.shares([x for _, _, x in texts], 20)]
+    kmm = np.array([[k(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(kmm)
+    half = vectors[:, values > 1e-6 * values[-1]] / np.sqrt(values[values > 1e-6 * values[-1]])
+    feature = lambda s: np.r_[np.array([k(s, y) for y in marks]) @ half, 1]
+    z = np.array([feature(s) for s in sets])
+    y = np.array([[1.0 if x == label else -1.0 for label in sorted(alphabet)] for _, _, x in texts])
+    w = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ y)
+    probe = ["abc de", "fgh dd q", "xyz é é", "", "dead beef", "q" * 3000 + " abc"]
+    got = np.array([model.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in probe])
+    assert np.allclose(got, [feature(runs(t) & every) @ w for t in probe], atol=1e-3)
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [(i, "kurz und gut " * 3, "de") for i in range(30)] + [(100 + i, "longo texto aqui " * 8000, "pt") for i in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.labels == ["de", "pt"]
+
+
+# -- mixing, row by row
+def test_mix_cuts_in_hash_order(spark, monkeypatch):
+    """Every row against a plain loop over the rows of a source in the order of their keys; with many ranges too."""
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * r.randrange(9)), r.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    key = {x["doc_id"]: x["k"] % 2**64 for x in df.select("doc_id", F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(7)).alias("k")).collect()}
+    for rows_of_range in (262_144, 1):
+        monkeypatch.setattr(mixing, "ROWS", rows_of_range)
+        got = {x["doc_id"]: x for x in mixing.mix(df).collect()}
+        for source in ("a", "b", None):
+            mine = sorted((i for i, _, s in rows if s == source), key=lambda i: key[i])
+            size = {i: len(t.split()) for i, t, s in rows if s == source}
+            target = got[mine[0]]["target"]
+            whole, left = divmod(math.floor(target), sum(size.values()))
+            for i in mine:
+                part = min(size[i], left)
+                left -= part
+                assert (got[i]["size"], got[i]["taken"]) == (size[i], whole * size[i] + part)
+
+
 # -- SentencePiece
+def test_encoding_of_one_long_part(library):
+    r = random.Random(6)
+    t = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200_000))
+    assert spm.model(queries.model_path()).encode(t)[0] == ",".join(map(str, library.encode(t)))
+
+
 @pytest.fixture(scope="module")
 def library():
     import sentencepiece
