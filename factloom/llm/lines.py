@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from operator import or_
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, row_key, staged
+from .common import meet, partitions, row_key, staged
 
 #: Buckets of the count of words, and so ranks of rarity that a word can have.
 RANKS = 32768
@@ -30,22 +29,24 @@ def _lines(text: Column) -> Column:
     return F.split(F.when(other, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text), "\n")
 
 
-def rarity(texts: DataFrame, col: str) -> list[int]:
-    """Rank of each bucket of word hashes by how many words of all texts fall into it. RANKS numbers."""
+def rarity(texts: DataFrame, col: str) -> DataFrame:
+    """One row, ranks array<bigint>: for each of RANKS buckets of word hashes its rank by how many words of all texts
+    fall into it, moved to the high bits. Written to the shared folder once; plans name it as a subquery."""
     lines = texts.select(F.explode(_lines(F.col(col))).alias("line"))
     w = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''").select(_bucket(F.xxhash64("w")).alias("b"))
-    counts = dict(w.groupBy("b").agg(F.count("*").alias("c")).collect())
-    ranks = [0] * RANKS
-    for rank, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
-        ranks[b] = rank
-    return ranks
+    counts = w.groupBy("b").agg(F.count("*").alias("c"))
+    every = texts.sparkSession.range(RANKS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    ranked = every.select("b", (F.row_number().over(W.orderBy(F.coalesce("c", F.lit(0)), "b")) - 1).cast("long").alias("r"))
+    in_order = F.array_sort(F.collect_list(F.struct("b", "r")))
+    return staged(ranked.agg(F.transform(in_order, lambda x: F.call_function("shiftleft", x["r"], F.lit(48))).alias("ranks")))
 
 
-def token_set(line: Column, ranks: list[int]) -> Column:
-    """The distinct words of a line (see _lines) as numbers, rarest first: rank of the word's bucket, then its hash."""
-    high = F.from_json(F.lit(json.dumps([r << 48 for r in ranks])), "array<bigint>")
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(high, _bucket(h)), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+def with_tokens(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """lines with tokens: the distinct words of the column line (see _lines) as numbers, rarest first: rank of the
+    word's bucket, then its hash."""
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)))
+    number = lambda h: F.get("_ranks", _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+    return lines.withColumn("_ranks", ranks.scalar()).withColumn("tokens", F.sort_array(F.transform(hashes, number))).drop("_ranks")
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -64,10 +65,13 @@ def _possible(share: int) -> Column:
 
 def _marked(df: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
     """Rows of df whose 64-bit col is in wanted (one bigint column), and a few others: a bit for each wanted number
-    in a table of at most BIT_WORDS words is broadcast, so df stays where it is."""
+    in a table of at most BIT_WORDS words is broadcast, so df stays where it is. Where the table would be full, df
+    meets the wanted numbers by a shuffle."""
+    w = F.col(wanted.columns[0])
+    if wanted.select(F.approx_count_distinct(w)).first()[0] > 8 * BIT_WORDS:
+        return df.join(wanted.select(w.alias("_w")).distinct(), F.col(col) == F.col("_w"), "left_semi")
     word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(BIT_WORDS))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    w = F.col(wanted.columns[0])
     bits = wanted.groupBy(word(w).alias("_word")).agg(F.bit_or(bit(w)).alias("_bits"))
     return df.withColumn("_word", word(F.col(col))).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit(F.col(col))) != 0).drop("_word", "_bits")
 
@@ -83,9 +87,14 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
     """
     half = lambda n: F.floor(F.log2(n) * 2).cast("int")
     entries = F.transform("prefix", lambda t, i: F.struct(i.alias("i"), t.alias("token"), F.hash(F.get("prefix", i + 1)).alias("follows")))
-    listed = sets.where("prefix is not null").select("fp", "n", "sig", F.coalesce("id", F.lit(_LAST)).alias("id"), F.explode(entries).alias("e"))
-    listed = listed.withColumn("size", F.explode(F.sequence(half(F.col("n")), half(F.floor(F.col("n") * 100 / share)))))
-    listed = listed.select(F.xxhash64("e.token", "size").alias("list"), "e.follows", "e.i", "fp", "n", "sig", "id")
+
+    def lists(of: DataFrame) -> DataFrame:
+        # The condition on fp holds always: a join would add it to one of its sides, and the sides would differ.
+        rows = of.where("prefix is not null and fp is not null").select("fp", "n", "sig", F.coalesce("id", F.lit(_LAST)).alias("id"), F.explode(entries).alias("e"))
+        rows = rows.withColumn("size", F.explode(F.sequence(half(F.col("n")), half(F.floor(F.col("n") * 100 / share)))))
+        return rows.select(F.xxhash64("e.token", "size").alias("list"), "e.follows", "e.i", "fp", "n", "sig", "id")
+
+    listed = lists(sets)
     columns = ("follows", "fp", "n", "sig", "id", "i")
     other = lambda df: df.select("list", *[F.col(c).alias("x" + c) for c in columns])
     if only is None:
@@ -95,7 +104,7 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
         y = listed.withColumn("h", head).select("list", *columns, *[F.col(f"h.{c}").alias("x" + c) for c in columns])
         y = y.withColumn("head", F.when((F.col("xid") < F.col("id")) & _possible(share), F.col("xfp"))).select("list", *columns, "head")
     else:
-        y = listed.join(only, "fp", "left_semi").withColumn("head", F.lit(None).cast("long"))
+        y = staged(lists(sets.join(only, "fp", "left_semi"))).withColumn("head", F.lit(None).cast("long"))
         x = other(_marked(listed, "list", y.select("list")))
     meets = F.when(F.col("head").isNotNull(), F.col("xfp") == F.col("head")).otherwise((F.col("xid") <= F.col("id")) & _possible(share))
     # The last term holds always: with it both sides have the same columns, so the lists are dealt out once.
@@ -103,7 +112,7 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
     return staged(pairs.groupBy("fp", "xfp").agg(F.bool_or(F.col("head").isNotNull()).alias("quick")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, ranks: list[int], share: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, ranks: DataFrame, share: int) -> DataFrame:
     """pairs with late, the fp of the later set where the whole sets reach the share, else null.
 
     The documents, then the lines that pairs name are found again by tables of bits, so texts stay where they are
@@ -113,7 +122,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     named = staged(named.withColumn("h", F.xxhash64("key", "pos")))
     every = _marked(docs.select(F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("key")), "key", named.select("key"))
     every = every.select("key", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("h", F.xxhash64("key", "pos"))
-    found = _marked(every, "h", named.select("h")).select("h", "key", "pos", token_set(F.col("line"), ranks).alias("tokens"))
+    found = with_tokens(_marked(every, "h", named.select("h")), ranks).select("h", "key", "pos", "tokens")
     at = F.struct(F.col("id").isNull().alias("null"), "id", "key", "pos").alias("at")
     whole = staged(named.select("fp", "h", "id", F.col("key").alias("nkey"), F.col("pos").alias("npos")).join(found, "h").where("key = nkey and pos = npos").select("fp", at, "tokens").dropDuplicates(["fp"]))
     both = pairs.join(whole, "fp").join(whole.select(F.col("fp").alias("xfp"), F.col("at").alias("xat"), F.col("tokens").alias("xtokens")), "xfp")
@@ -138,7 +147,7 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     n = F.size("tokens")
     least = -(-share // (100 - share)) if share < 100 else 1 << 30
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = staged(lines_of(docs, text_col, id_col).withColumn("tokens", token_set(F.col("line"), ranks)).select(
+    lines = staged(with_tokens(lines_of(docs, text_col, id_col), ranks).select(
         "id", "key", "pos", n.alias("n"), F.xxhash64("tokens").alias("fp"), F.when(n >= least, parity).alias("sig"),
         F.when(n >= least, F.slice("tokens", F.lit(1), n - F.ceil(n * share / 100).cast("int") + 1)).alias("prefix"),
     ))
@@ -153,8 +162,9 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         more = _verified(_candidates(sets, share, missed), sets, docs, text_col, id_col, ranks, share)
         late = late.union(more.where("late is not null").select(F.col("late").alias("fp"))).distinct()
     firsts = sets.select("fp", "c", F.col("key").alias("fkey"), F.col("pos").alias("fpos")).join(late.withColumn("late", F.lit(True)), "fp", "left")
-    firsts = firsts.where("c > 1 or late").select("fp", "fkey", "fpos", F.coalesce("late", F.lit(False)).alias("late"))
-    return lines.select("key", "pos", "fp").join(firsts, "fp").where("late or key <> fkey or pos <> fpos").select("key", "pos")
+    firsts = staged(firsts.where("c > 1 or late").select("fp", "c", "fkey", "fpos", F.coalesce("late", F.lit(False)).alias("late")))
+    met = meet(lines.where("n > 0").select("key", "pos", "fp"), firsts, ["fp"], "c", lines.count())
+    return met.where("late or key <> fkey or pos <> fpos").select("key", "pos")
 
 
 def _by_document(removed: DataFrame) -> DataFrame:
