@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Characters of parts and pairs of pieces that a worker remembers; older ones are forgotten and worked out anew.
-PARTS, PAIRS = 8_000_000, 1_000_000
-#: Longest part that is remembered.
-LONG = 200
+#: Bytes of parts, about, and pairs of pieces that a worker remembers; older ones are forgotten and worked out anew.
+PARTS, PAIRS = 192_000_000, 500_000
+#: Longest part that is remembered, and about the bytes that a short one takes besides its characters.
+LONG, ENTRY = 200, 320
 
 
 class Model:
@@ -166,8 +166,8 @@ class Model:
             if r is None:
                 r = self.older.get(p) or self.part(p)
                 if len(p) <= LONG:
-                    self.held += len(p)
-                    if self.held > PARTS:
+                    self.held += ENTRY + len(p) + len(r[0]) + len(r[1])
+                    if self.held > PARTS // 2:
                         self.older, self.parts, self.held = self.parts, {}, 0
                     self.parts[p] = r
             got.append(r)
