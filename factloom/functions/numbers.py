@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Factor to the dimension's base unit (power in cv, torque in Nm, length in mm, volume in litres).
 UNITS = {
     "power": {"cv": 1.0, "ps": 1.0, "hp": 1.0139, "bhp": 1.0139, "kw": 1.3596},
-    "torque": {"nm": 1.0, "n.m": 1.0, "kgfm": 9.80665, "kgf.m": 9.80665, "kgm": 9.80665, "mkgf": 9.80665, "lb-ft": 1.3558, "lbft": 1.3558},
+    "torque": {"nm": 1.0, "n.m": 1.0, "kgfm": 9.80665, "kgf.m": 9.80665, "kgm": 9.80665, "mkgf": 9.80665, "m.kgf": 9.80665, "lb-ft": 1.3558, "lbft": 1.3558, "lb.ft": 1.3558, "lbf.ft": 1.3558},
     "length": {"mm": 1.0, "cm": 10.0, "m": 1000.0, "in": 25.4, "pol": 25.4},
     "volume": {"l": 1.0, "lt": 1.0, "ml": 0.001, "cc": 0.001, "cm3": 0.001, "gal": 3.785411784},
 }
@@ -97,10 +97,14 @@ def change_pct(before: Column, after: Column) -> Column:
     return F.round(100 * (after - before) / F.abs(F.nullif(before, F.lit(0.0))), 2)
 
 
+#: Confidence of a value by its source's tier, from the first on.
+TIERS = [0.90, 0.85, 0.60, 0.40, 0.20]
+
+
 def confidence(tier: Column, independent: Column, divergent: Column) -> Column:
-    """Base by the best tier, 0.05 more for each further independent source; at most 0.6 from tier 3 on, 1 at most.
+    """Base by the best tier (beyond the last tier the last one's), 0.05 more for each further independent source; at most 0.6 from tier 3 on, 1 at most.
     Divergence earns no bonus."""
-    base = F.when(tier <= 1, 1.0).when(tier == 2, 0.9).when(tier == 3, 0.6).when(tier == 4, 0.4).otherwise(0.2)
+    base = F.element_at(F.array(*map(F.lit, TIERS)), F.greatest(F.lit(1), F.least(F.lit(len(TIERS)), tier.cast("int"))))
     raised = base + 0.05 * F.greatest(independent - 1, F.lit(0))
     raised = F.when(tier >= 3, F.least(raised, F.lit(0.6))).otherwise(raised)
     return F.round(F.when(divergent, base).otherwise(F.least(raised, F.lit(1.0))), 4)
@@ -123,6 +127,21 @@ def iso_date(text: Column) -> Column:
     return F.coalesce(day, F.when(at > 0, F.concat(named(2), F.lit("-"), F.lpad(at.cast("string"), 2, "0"))))
 
 
+def display_date(iso: Column) -> Column:
+    """dd/mm/yyyy of an ISO date, mm/yyyy of a month; any other text as it is."""
+    day = F.date_format(F.try_to_date(F.when(iso.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), iso), "yyyy-MM-dd"), "dd/MM/yyyy")
+    month = F.when(iso.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.concat(F.substring(iso, 6, 2), F.lit("/"), F.substring(iso, 1, 4)))
+    return F.coalesce(day, month, iso)
+
+
+def split_year(text: Column) -> Column:
+    """struct(rest, year): the last year from 1950 to 2049 that stands alone, taken out of the text; null without one."""
+    year = r"(?:19[5-9]|20[0-4])[0-9](?![0-9])"
+    found = F.regexp_extract_all(text, F.lit(rf"(?:^|[^0-9])({year})"), F.lit(1))
+    rest = F.regexp_replace(text, rf"(?s)^(.*[^0-9]|){year}", "$1")
+    return F.struct(F.trim(F.regexp_replace(rest, " +", " ")).alias("rest"), F.try_element_at(found, F.lit(-1)).cast("int").alias("year"))
+
+
 def age_days(then: Column, now: Column) -> Column:
     """Whole periods of 24 hours between two timestamps, at least 0."""
     return F.greatest(F.lit(0), F.floor((now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 86400)).cast("bigint")

@@ -45,6 +45,60 @@ def tokens(text: Column, stop: list[str] = STOP) -> Column:
     return F.when(F.size(kept) == 0, every).otherwise(kept)
 
 
+#: Words of a version's name that tell no version from another.
+IGNORED = ["at", "mt", "4x4", "4x2", "4wd", "2wd", "awd", "automatico", "automatica", "manual"]
+#: Words that distinguish nothing in a consumption table, and abbreviations used there.
+GENERIC = [
+    "diesel", "gasolina", "flex", "automatico", "manual", "at", "mt", "cabine", "dupla", "simples", "4x4", "4x2", "4wd", "2wd", "awd", "4", "wide", "tread", "power", "pack", "e", "de", "da", "do", "com",
+    "km", "l",
+]
+SHORT = {"ltd+": "limited plus", "ltd": "limited", "hc": "high country", "h.country": "high country", "p-up": "pick-up", "cd": "cabine dupla", "cs": "cabine simples", "ch": "chassi"}
+
+
+def version_name(text: Column) -> Column:
+    """A version's name folded, its words, figures and points alone, without words that distinguish nothing; in order."""
+    words = F.split(F.regexp_replace(F.translate(fold(text), "×", "x"), r"[^a-z0-9_.]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(IGNORED)), " ")
+
+
+def distinctive(text: Column) -> Column:
+    """array<string>: the words that tell a name from others, abbreviations written out, once each."""
+    full = fold(text)
+    for short, long in SHORT.items():
+        literal = "".join("\\" + c if c in "+.-" else c for c in short)
+        full = F.regexp_replace(full, rf"(?<![\w.]){literal}(?![\w])", long)
+    return F.array_distinct(F.filter(F.split(full, "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(GENERIC)))
+
+
+def canonical_version(model: Column, name: Column) -> Column:
+    """A version's name without its model's words at the head; the whole name where nothing else is left."""
+    m, n = tokens(model, []), tokens(name, [])
+    same = F.transform(n, lambda w, i: F.coalesce(w == F.get(m, i), F.lit(False)))
+    head = F.array_position(F.array_append(same, F.lit(False)), F.lit(False)) - 1
+    rest = F.slice(n, head.cast("int") + 1, F.greatest(F.lit(1), F.size(n)))
+    return F.array_join(F.when(F.size(rest) == 0, n).otherwise(rest), " ")
+
+
+#: Words by which a source says that it measured a value, or that a maker states it; the first kind
+#: that stands in a text decides.
+MEASURED = ["medimos", "medido", "medida", "mediu", "medição", "medicao", "teste", "testes", "cronometr[a-zà-ÿ]*", "apurou", "registrou", "aferi[a-zà-ÿ]*"]
+DECLARED = [
+    "declara", "declarado", "declarada", "declaram", "declaração", "declaracao", "segundo [ao] fabricante", "segundo [ao] montadora", "segundo [ao] marca", "informa", "informado", "informada", "informações",
+    "informacoes", "promete", "de fábrica", "de fabrica", "dados? oficial", "dados? oficiais", "ficha técnica", "ficha tecnica",
+]
+CLAIMS = [(kind, rf"(?i)(?:^|[^\p{{L}}0-9_])({'|'.join(words)})(?:[^\p{{L}}0-9_]|$)") for kind, words in (("measured", MEASURED), ("declared", DECLARED))]
+
+
+def claim(raw: Column, quote: Column) -> Column:
+    """struct(kind, term): measured, declared or null with the words that say so; the raw value counts before its quote."""
+    kind, term = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for text in (quote, raw):
+        for name, pattern in reversed(CLAIMS):
+            hit = F.coalesce(text.rlike(pattern), F.lit(False))
+            kind, term = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract(text, pattern, 1)).otherwise(term)
+    return F.struct(kind.alias("kind"), term.alias("term"))
+
+
 def split_list(text: Column) -> Column:
     """Items between , ; + and the word e, of two characters or more, in order and once each."""
     items = F.transform(F.split(F.lower(text), r"[,;+]| e "), lambda x: F.trim(x))

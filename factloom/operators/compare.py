@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import close, within_pct
-from ..functions.text import fold
+from ..functions.text import fold, tokens
 from .facts import ABSENT_STATES, as_text, blank
-from .tables import latest
+from .tables import latest, top_k
 
 ADVANTAGE, PARITY, GAP, UNKNOWN = "advantage", "parity", "gap", "unknown"
 _VALUE = ("num", "flag", "items", "txt", "status")
@@ -101,10 +101,28 @@ def best_match(scored: DataFrame, by: list[str], order: list[Column]) -> DataFra
     return latest(scored, by, order)
 
 
+#: Largest change of an override in per cent.
+MOST_PCT = 50
+
+
+def override_faults(overrides: DataFrame, fields: list[str]) -> DataFrame:
+    """overrides (entity, field, pct, value, remove) with fault, the first of: not_one_form (pct, value or remove, just
+    one), unknown_field, beyond_range; null for a sound one."""
+    forms = F.col("pct").isNotNull().cast("int") + F.col("value").isNotNull().cast("int") + F.coalesce("remove", F.lit(False)).cast("int")
+    fault = F.when(forms != 1, "not_one_form").when(~F.coalesce(F.col("field").isin(fields), F.lit(False)), "unknown_field").when(F.abs("pct") > MOST_PCT, "beyond_range")
+    return overrides.withColumn("fault", fault)
+
+
+def largest_override(overrides: DataFrame, by: list[str]) -> DataFrame:
+    """The sound override of the largest change of each group; ties by field."""
+    order = F.struct(F.abs("pct").alias("size"), F.col("field").alias("f"))
+    return overrides.where("fault is null and pct is not null").groupBy(*by).agg(F.max_by(F.struct("field", "pct"), order).alias("o")).select(*by, "o.field", "o.pct")
+
+
 def overlay(facts: DataFrame, overrides: DataFrame) -> DataFrame:
-    """facts under overrides (entity, field, pct, value): a value, or a change by per cent of at most 50. Others and
-    fields without a number stay; nothing is written."""
-    o = overrides.where((F.col("pct").isNull() != F.col("value").isNull()) & F.coalesce(F.abs("pct") <= 50, F.lit(True)))
+    """facts under overrides (entity, field, pct, value): a value, or a change by per cent of at most MOST_PCT. Others
+    and fields without a number stay (override_faults names the reason); nothing is written."""
+    o = overrides.where((F.col("pct").isNull() != F.col("value").isNull()) & F.coalesce(F.abs("pct") <= MOST_PCT, F.lit(True)))
     o = o.select("entity", "field", F.col("pct").alias("_pct"), F.col("value").alias("_value"))
     num = F.coalesce(F.col("_value"), F.round(F.col("num") * (1 + F.col("_pct") / 100), 2), F.col("num"))
     return facts.join(o, ["entity", "field"], "left").withColumn("num", num).drop("_pct", "_value")
@@ -138,3 +156,13 @@ def share_of_states(parities: DataFrame, by: list[str]) -> DataFrame:
     """Each state's share of a group's comparable fields."""
     n = parities.where(F.col("state") != UNKNOWN).groupBy(*by, "state").agg(F.count("*").alias("n"))
     return n.withColumn("of", F.sum("n").over(W.partitionBy(*by)))
+
+
+def suggest(asked: DataFrame, ask_col: str, names: DataFrame, name_col: str, most: int) -> DataFrame:
+    """(ask_col, name_col, coverage, score, place): the best `most` names of each text asked for that share a word
+    with it: by the share of its words, then by likeness of the two sets of words, then by name. They meet word by
+    word, so names without a common word are never looked at."""
+    split = lambda df, c, n: df.select(c, F.size(F.array_distinct(tokens(F.col(c), []))).alias(n), F.explode(F.array_distinct(tokens(F.col(c), []))).alias("_w"))
+    hits = split(asked, ask_col, "_a").join(split(names, name_col, "_b"), "_w").groupBy(ask_col, name_col, "_a", "_b").agg(F.count("*").alias("_n"))
+    scored = hits.withColumn("coverage", F.col("_n") / F.col("_a")).withColumn("score", 2.0 * F.col("_n") / (F.col("_a") + F.col("_b")))
+    return top_k(scored, [ask_col], [F.desc("coverage"), F.desc("score"), F.col(name_col)], most).drop("_a", "_b", "_n")

@@ -16,7 +16,7 @@ d AS (SELECT entity, field, max(best) AS best_tier, max(low) FILTER (tier = best
 e AS (SELECT d.*, tol_abs, tol_rel, (high - low = 0) OR coalesce(high - low <= tol_abs + 1e-9, false) OR coalesce(high - low <= tol_rel * greatest(abs(low), abs(high)), false) AS agree FROM d JOIN ospec USING (field)),
 far AS (SELECT *, ol IS NOT NULL AND NOT ((greatest(low, ol) - least(low, ol) = 0) OR coalesce(greatest(low, ol) - least(low, ol) <= tol_abs + 1e-9, false) OR coalesce(greatest(low, ol) - least(low, ol) <= tol_rel * greatest(abs(low), abs(ol)), false))
   OR oh IS NOT NULL AND NOT ((greatest(low, oh) - least(low, oh) = 0) OR coalesce(greatest(low, oh) - least(low, oh) <= tol_abs + 1e-9, false) OR coalesce(greatest(low, oh) - least(low, oh) <= tol_rel * greatest(abs(low), abs(oh)), false)) AS contested FROM e),
-base AS (SELECT *, CASE WHEN best_tier <= 1 THEN 1.0 WHEN best_tier = 2 THEN 0.9 WHEN best_tier = 3 THEN 0.6 WHEN best_tier = 4 THEN 0.4 ELSE 0.2 END::DOUBLE AS base FROM far),
+base AS (SELECT *, CASE WHEN best_tier <= 1 THEN 0.9 WHEN best_tier = 2 THEN 0.85 WHEN best_tier = 3 THEN 0.6 WHEN best_tier = 4 THEN 0.4 ELSE 0.2 END::DOUBLE AS base FROM far),
 conf AS (SELECT *, CASE WHEN best_tier >= 3 THEN least(base + 0.05 * greatest(independent - 1, 0), 0.6) ELSE base + 0.05 * greatest(independent - 1, 0) END AS raised FROM base)"""
 
 

@@ -41,7 +41,7 @@ def test_tolerance(spark):
 
 def test_confidence(spark):
     c = lambda t, n, d: one(spark, numbers.confidence(F.lit(t), F.lit(n), F.lit(d)))
-    assert (c(1, 3, False), c(2, 3, False), c(3, 9, False), c(2, 3, True)) == (1.0, 1.0, 0.6, 0.9)
+    assert (c(1, 3, False), c(2, 3, False), c(3, 9, False), c(2, 3, True)) == (1.0, 0.95, 0.6, 0.85)
 
 
 def test_text(spark):
@@ -87,3 +87,21 @@ def test_common_is_a_longest_common_subsequence():
     for _ in range(200):
         a, b = ("".join(r.choices("abc", k=r.randrange(12))) for _ in range(2))
         assert fuzzy.common(a, b) == slow(a, b)
+
+
+def test_names_claims_and_years(spark):
+    t = lambda f, x: one(spark, f(F.lit(x)))
+    assert t(text.version_name, "SRX Plus AT") == "srx plus" and t(text.version_name, "Raptor 3.0 V6 Bi-turbo 4WD AT") == "raptor 3.0 v6 bi turbo"
+    assert t(text.distinctive, "Ranger Ltd+ CD 4x4 Diesel") == ["ranger", "limited", "plus"] and t(text.distinctive, "HC p-up") == ["high", "country", "pick", "up"]
+    claim = lambda raw, quote: tuple(one(spark, text.claim(F.lit(raw), F.lit(quote))))
+    assert claim("", "A Ford declara que vai de 0 a 100 em 5,8 segundos") == ("declared", "declara")
+    assert claim("6,5 s (teste Autoesporte)", "a marca declara 5,8") == ("measured", "teste") and claim(None, "0-100 km/h: 5,8 s") == (None, None)
+    year = lambda x: tuple(one(spark, numbers.split_year(F.lit(x))))
+    assert year("ranger 2025 xl 2026") == ("ranger 2025 xl", 2026) and year("2026") == ("", 2026) and year("f-150 12026") == ("f-150 12026", None)
+    assert [t(numbers.display_date, x) for x in ("2026-09-10", "2026-09", "soon")] == ["10/09/2026", "09/2026", "soon"]
+
+
+def test_every_unit_of_torque(spark):
+    """A hundred of each unit in newton metres, half-even."""
+    got = {u: one(spark, numbers.convert(F.lit(100.0), F.lit(u), "torque")) for u in ("Nm", "n·m", "kgfm", "kgf.m", "kgf·m", "kgm", "mkgf", "m.kgf", "lb-ft", "lbft", "lb.ft", "lbf.ft", "hp")}
+    assert got == {"Nm": 100, "n·m": 100, "kgfm": 981, "kgf.m": 981, "kgf·m": 981, "kgm": 981, "mkgf": 981, "m.kgf": 981, "lb-ft": 136, "lbft": 136, "lb.ft": 136, "lbf.ft": 136, "hp": None}

@@ -50,7 +50,7 @@ def test_decisions(spark):
     spec = facts.spec_table(spark, [("f", "g", "number", 1.0, None, "high", False, False)])
     d = {r["entity"]: r for r in decide.decide(o, spec).collect()}
     assert {k: r["status"] for k, r in d.items()} == {1: "verified", 2: "divergent", 3: "declared_absent", 4: "not_found"}
-    assert d[1]["contested"] and d[1]["independent"] == 2 and d[2]["confidence"] == 0.9 and d[3]["confidence"] is None
+    assert d[1]["contested"] and d[1]["independent"] == 2 and d[2]["confidence"] == 0.85 and d[3]["confidence"] is None
 
 
 def test_value_groups_like_the_plain_loop(spark):
