@@ -107,8 +107,7 @@ def deduplicate(spark: SparkSession, path: str, schema: T.StructType, text_col:
     base = shared_path(spark)
     source, folder = spark.readStream.schema(schema), path
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getFileStatus(at).isFile():
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         # A stream watches folders: a table of one file is its name in the folder above.
         source, folder = source.option("pathGlobFilter", at.getName()), at.getParent().toString()
     if files_per_batch:
@@ -125,7 +124,8 @@ def deduplicate(spark: SparkSession, path: str, schema: T.StructType, text_col:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
     with _settings(spark, _STATE):
         _finish(group_stream(stream.parquet(digests_path), f"{base}/groups", f"{base}/state", byte_check(path, schema, text_col, digests_path, kinds, unequal_path)))
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/groups")):
+    written = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/groups")
+    if not written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(written):
         return spark.createDataFrame([], f"{id_col} bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string, keep_place struct<file: string, row: bigint>")
     groups = spark.read.schema(_GROUP).parquet(f"{base}/groups")
     if files_per_batch:
