@@ -14,7 +14,11 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter, or of no clear language, go."""
+    """Documents whose language is recognised; those without a letter, or of no clear language, go.
+
+    Null and empty texts have no letter, so they go. Null ids, languages and sources stay as they are; repeated rows
+    are judged alike. Without a labelled row there is no model and nothing is kept. Columns besides those of
+    documents are dropped, whatever their names."""
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     model = langid.fit(docs)
     judged = langid.identify(docs, model, passing=["text", "lang", "source", "n_chars"])
@@ -22,22 +26,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has, n_chars brought up to date."""
+    """Documents without the lines that an earlier document has, n_chars brought up to date.
+
+    A document of which no line is left goes. Null and empty texts have no line to lose and stay (null: n_chars null).
+    Null ids come last; rows that repeat id and text count as one document and lose the same lines."""
     return lines.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id.
+
+    Texts without words are nobody's copy and stay; so do rows of null id. Rows that repeat an id stay or go together."""
     return ngram_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; the last one of a source's budget stays whole.
+
+    Texts without words (null, empty) add nothing to a mix and go. A null source is a source of its own."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the decoded text's digest beside the text's own."""
+    """Piece ids of every document, with the digests of the ids and of the text decoded from them. A null text has no
+    ids, as an empty one; repeated rows have a row each."""
     out = spm.encode_decode(docs, model_path())
     return out.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
