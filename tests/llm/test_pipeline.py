@@ -45,3 +45,19 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 50
+
+
+def test_stages_of_odd_documents(spark, odd, nothing):
+    """Nulls, empty texts, repeated rows and clashing columns pass every stage; so does an empty table."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (odd, odd.select(*names), nothing):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, FOLDER)
+            rows = out.collect()
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert set(names) <= set(out.columns)
+                assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+            if docs is nothing:
+                assert not rows
+    kept = [r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, odd, FOLDER).collect()]
+    assert kept.count(1) == 1 and 3 not in kept and {4, 5, 6} <= set(kept) and kept.count(None) == 2
