@@ -62,7 +62,8 @@ def canonical(rows: DataFrame, vocabulary: DataFrame, field: str, token: Column)
     """rows with canonical: the vocabulary's word for (field, token), else the token without hyphens, else a slug."""
     from ..functions.text import fold, slug
 
-    v = F.broadcast(vocabulary.select(F.col("field").alias("_f"), F.col("token").alias("_t"), F.col("canonical").alias("_c")))
+    # Spark broadcasts the vocabulary where its size allows.
+    v = vocabulary.select(F.col("field").alias("_f"), F.col("token").alias("_t"), F.col("canonical").alias("_c"))
     t = rows.withColumn("_k", fold(token)).withColumn("_p", F.translate(fold(token), "-", ""))
     one = t.join(v, (F.col(field) == F.col("_f")) & (F.col("_k") == F.col("_t")), "left").withColumn("_c1", F.col("_c")).drop("_f", "_t", "_c")
     two = one.join(v, (F.col(field) == F.col("_f")) & (F.col("_p") == F.col("_t")), "left")

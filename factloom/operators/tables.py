@@ -87,3 +87,11 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
 def share_from(part: Column, whole: Column, least: int = 20) -> Column:
     """Per cent with one digit, null below `least` cases."""
     return F.when(whole >= least, F.round(100 * part / whole, 1))
+
+
+def subset_join(queries: DataFrame, query: Column, names: DataFrame, name: Column) -> DataFrame:
+    """(query, name, surplus): names that hold every word of a query, and how many more words they have. Words part at
+    spaces. Queries and names meet word by word, so no name is held against every query."""
+    words = lambda df, text, as_: df.select(text.alias(as_)).distinct().select(as_, F.split(as_, " ").alias("_all")).select(as_, F.size("_all").alias(f"_n_{as_}"), F.size(F.array_distinct("_all")).alias(f"_d_{as_}"), F.explode(F.array_distinct("_all")).alias("_w"))
+    hits = words(queries, query, "query").join(words(names, name, "name"), "_w").groupBy("query", "name", "_n_query", "_d_query", "_n_name").agg(F.count("*").alias("_hits"))
+    return hits.where("_hits = _d_query").select("query", "name", (F.col("_n_name") - F.col("_n_query")).alias("surplus"))

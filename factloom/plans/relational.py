@@ -120,9 +120,8 @@ _TOKENS = "string_split(p_name, ' ')"
 SELECT query, count(*) AS n_names, CASE WHEN count(*) = 1 THEN min(p_name) END AS name FROM m GROUP BY query""")
 def token_subset_join(spark, sf_dir):
     q = tables.literal(spark, [("small ring",), ("red",), ("blue bolt",), ("widget",)], "query string")
-    n = table(spark, sf_dir, "part").select("p_name").distinct()
-    hit = n.crossJoin(F.broadcast(q)).where(F.size(F.array_except(F.split("query", " "), F.split("p_name", " "))) == 0)
-    g = hit.groupBy("query").agg(F.count("*").alias("n_names"), F.min("p_name").alias("first"))
+    hit = tables.subset_join(q, F.col("query"), table(spark, sf_dir, "part"), F.col("p_name"))
+    g = hit.groupBy("query").agg(F.count("*").alias("n_names"), F.min("name").alias("first"))
     return g.select("query", "n_names", F.when(F.col("n_names") == 1, F.col("first")).alias("name"))
 
 
@@ -132,10 +131,9 @@ r AS (SELECT *, rank() OVER (PARTITION BY query ORDER BY surplus) AS k FROM m)
 SELECT query, CAST(min(surplus) AS BIGINT) AS surplus, count(*) AS n_top, CASE WHEN count(*) = 1 THEN min(p_name) END AS name FROM r WHERE k = 1 GROUP BY query""")
 def min_surplus_join(spark, sf_dir):
     q = tables.literal(spark, [("small ring",), ("red",), ("blue bolt",), ("widget",)], "query string")
-    n = table(spark, sf_dir, "part").select("p_name").distinct()
-    hit = n.crossJoin(F.broadcast(q)).where(F.size(F.array_except(F.split("query", " "), F.split("p_name", " "))) == 0).withColumn("surplus", F.size(F.split("p_name", " ")) - F.size(F.split("query", " ")))
+    hit = tables.subset_join(q, F.col("query"), table(spark, sf_dir, "part"), F.col("p_name"))
     top = tables.unique_top(hit, ["query"], [F.col("surplus")])
-    return top.groupBy("query").agg(F.min("surplus").cast("bigint").alias("surplus"), F.count("*").alias("n_top"), F.max(F.when(F.col("decided"), F.col("p_name"))).alias("name"))
+    return top.groupBy("query").agg(F.min("surplus").cast("bigint").alias("surplus"), F.count("*").alias("n_top"), F.max(F.when(F.col("decided"), F.col("name"))).alias("name"))
 
 
 @query("""SELECT n_name AS brand, count(DISTINCT c_custkey) AS mapped, count(DISTINCT o_custkey) AS with_sheet, count(*) FILTER (o_orderstatus = 'F') AS verified, count(*) FILTER (o_orderstatus = 'P') AS divergent, count(DISTINCT c_custkey) - count(DISTINCT o_custkey) AS not_found,
