@@ -50,23 +50,27 @@ def normalised(kind: Column, raw: Column, dimension: Column) -> Column:
 
     kind: number (with a dimension: in its base unit), price, rpm, count, flag, list, text. A declared absence has
     status 'declared_absent' and no value. What cannot be read has status 'unread' and a reason, never an error."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is worked out once, whatever f says
     unit = F.regexp_extract(raw, r"[0-9](?: )?([A-Za-z][A-Za-z.·/-]*[0-9]?)", 1)
-    value = numbers.parse_number(raw)
-    plain = value
-    for name in numbers.UNITS:
-        plain = F.when(dimension == name, numbers.convert(value, unit, name)).otherwise(plain)
-    num = (
-        F.when(kind == "number", plain).when(kind == "price", numbers.parse_price(raw).cast("double")).when(kind == "rpm", F.bround(value, 0)).when(kind == "count", numbers.cylinders(raw))
-    )
-    flag = F.when(kind == "flag", numbers.parse_flag(raw))
-    items = F.when(kind == "list", split_list(raw))
-    txt = F.when(kind == "text", F.trim(raw))
-    absent = is_absent(raw)
-    read = num.isNotNull() | flag.isNotNull() | (F.size(items) > 0) | (F.length(txt) > 0)
-    status = F.when(absent, "declared_absent").when(F.coalesce(read, F.lit(False)), "read").otherwise("unread")
-    reason = F.when(status != "unread", F.lit(None)).when(F.coalesce(F.trim(raw), F.lit("")) == "", "blank").when((kind == "number") & value.isNotNull(), "unknown_unit").when(kind.isin("number", "price", "rpm", "count"), "no_number").when(kind.isin("flag", "list", "text"), "no_value").otherwise("unknown_kind")
-    keep = lambda c: F.when(~absent, c)
-    return F.struct(keep(num).alias("num"), keep(flag).alias("flag"), keep(items).alias("items"), keep(txt).alias("txt"), status.alias("status"), reason.alias("reason"))
+    # One table of all dimensions' units. Money words hold no digit, so a price is the number itself.
+    factors = F.create_map(*[F.lit(x) for name, units in numbers.UNITS.items() for u, f in units.items() for x in (f"{name}/{u}", f)])
+    factor = factors[F.concat(dimension, F.lit("/"), F.regexp_replace(numbers.unit_slug(unit), " ", ""))]
+
+    def read(value: Column) -> Column:
+        metres = (dimension == "length") & (F.lower(unit) == "m") & (value >= 100)
+        scaled = value * F.when((kind != "number") | dimension.isNull() | metres, 1.0).otherwise(factor)
+        rounded = F.when((kind == "number") & dimension.isNull(), scaled).when(dimension == "volume", F.bround(scaled, 3)).otherwise(F.bround(scaled, 0))
+        num = F.when(kind.isin("number", "price", "rpm"), rounded).when(kind == "count", numbers.cylinders(raw))
+        return F.struct(value.alias("value"), num.alias("num"), F.when(kind == "flag", numbers.parse_flag(raw)).alias("flag"), F.when(kind == "list", split_list(raw)).alias("items"), F.when(kind == "text", F.trim(raw)).alias("txt"), is_absent(raw).alias("absent"))
+
+    def judge(p: Column) -> Column:
+        found = p["num"].isNotNull() | p["flag"].isNotNull() | (F.size(p["items"]) > 0) | (F.length(p["txt"]) > 0)
+        reason = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "blank").when((kind == "number") & p["value"].isNotNull(), "unknown_unit").when(kind.isin("number", "price", "rpm", "count"), "no_number").when(kind.isin("flag", "list", "text"), "no_value").otherwise("unknown_kind")
+        status = F.when(p["absent"], "declared_absent").when(F.coalesce(found, F.lit(False)), "read").otherwise("unread")
+        cells = [F.when(~p["absent"], p[c]).alias(c) for c in ("num", "flag", "items", "txt")]
+        return F.struct(*cells, status.alias("status"), F.when(status == "unread", reason).alias("reason"))
+
+    return once(once(numbers.parse_number(raw), read), judge)
 
 
 def pair_facts(pairs: DataFrame, labels: DataFrame) -> DataFrame:
