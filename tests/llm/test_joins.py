@@ -246,12 +246,33 @@ def test_vectors(spark, monkeypatch):
     cls = classes([x[0] for x in rows], linked)
     want = sorted((x[0], n, c, x[0] == c) for x, n, c in zip(rows, links, cls, strict=True))
     assert sum(links) > 100
-    for side in (512, 7):
+    for side, depth in ((1024, 20), (7, 20), (7, 2)):  # one tile, a deep tree, leaves of several parts
         monkeypatch.setattr(embed, "SIDE", side)
+        monkeypatch.setattr(embed, "DEPTH", depth)
         assert sorted(map(tuple, embed.near_vectors(df).collect())) == want
     assert embed.near_vectors(df.limit(0)).count() == 0
 
 
+def test_far_leaves_never_meet(spark, monkeypatch):
+    """Vectors round many centres: the pairs of leaves grow with the leaves, not with their square."""
+    monkeypatch.setattr(embed, "SIDE", 32)
+    r = random.Random(9)
+
+    def pairs(centres):
+        at = [[r.gauss(0, 1) for _ in range(12)] for _ in range(centres)]
+        rows = [(i, [x + r.gauss(0, 0.02) for x in at[i % centres]], 0) for i in range(20 * centres)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+        whole = df.select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("vec"), F.lit(1).cast("bigint").alias("copies"), F.size("embedding").alias("dim"))
+        fields = ", ".join(f"{c} double" for c in embed._BOX)
+        placed = embed.staged(whole.select("key", "label", "dim", "copies", "vec").mapInArrow(embed._place(embed._axes(whole), embed.DEPTH), f"key bigint, label int, dim int, copies bigint, raw binary, code bigint, {fields}"))
+        home, met = embed._leaves(placed, math.sqrt(2 - 2 * 0.93))
+        return home.select("leaf").distinct().count(), met.count()
+
+    (few, few_pairs), (many, many_pairs) = pairs(16), pairs(64)
+    assert many > 2 * few
+    assert many_pairs < many * many / 8
+
+
 def test_report_digest_is_of_kept_words(spark, tmp_path):
     from factloom.llm import queries
 
