@@ -18,8 +18,8 @@ SIDE = 1024
 AXES = 8
 #: Leading axes that cut vectors into leaves; the norm of the rest is one more side of a leaf's box.
 LEAD = 8
-#: Levels of the tree of leaves; each halves its nodes along two axes.
-DEPTH = 20
+#: Levels of the tree of leaves; each halves its nodes along one axis.
+DEPTH = 40
 _BOX = [f"p{k}" for k in range(LEAD + 1)]
 
 
@@ -89,14 +89,14 @@ def tile_links(left: np.ndarray, right: np.ndarray, axes: np.ndarray | None, thr
 
 
 def leaf_codes(lead: np.ndarray, spread: np.ndarray, depth: int) -> np.ndarray:
-    """One integer of 2 * depth bits for each row: halves along each axis in turn, cut where a normal distribution of
+    """One integer of depth bits for each row: halves along each axis in turn, cut where a normal distribution of
     that spread would be halved. Other distributions make uneven leaves, never wrong ones."""
     k = lead.shape[1]
-    bits = -(-2 * depth // k)
+    bits = -(-depth // k)
     share = 1 / (1 + np.exp(-1.702 * np.clip(lead / np.maximum(spread, 1e-9), -30, 30)))
     steps = np.minimum((share * 2.0**bits).astype(np.int64), 2**bits - 1)
     code = np.zeros(len(lead), np.int64)
-    for t in range(2 * depth):
+    for t in range(depth):
         code = code << 1 | steps[:, t % k] >> (bits - 1 - t // k) & 1
     return code
 
@@ -141,13 +141,13 @@ def _leaves(placed: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
     low, high = F.struct(*[F.min(c).alias(c) for c in _BOX]).alias("low"), F.struct(*[F.max(c).alias(c) for c in _BOX]).alias("high")
     codes = staged(placed.groupBy("label", "dim", "code").agg(F.count("*").alias("n"), low, high))
     merged = [F.struct(*[f(F.col(f"{side}.{c}")).alias(c) for c in _BOX]).alias(side) for side, f in (("low", F.min), ("high", F.max))]
-    prefix = lambda depth: F.shiftright("code", 2 * (DEPTH - depth)).alias("prefix")
+    prefix = lambda depth: F.shiftright("code", DEPTH - depth).alias("prefix")
     name = lambda depth, at: F.concat_ws("/", F.lit(depth), at, "dim", "label")
     steps, homes, pairs = [], [], []
     active, depth = codes, 0
     while True:
         nodes = active.groupBy("label", "dim", prefix(depth)).agg(F.sum("n").alias("n"), *merged)
-        up = name(depth - 1, F.shiftright("prefix", 2)) if depth else F.lit(None).cast("string")
+        up = name(depth - 1, F.shiftright("prefix", 1)) if depth else F.lit(None).cast("string")
         leaf = (F.col("n") <= SIDE) if depth < DEPTH else F.lit(True)
         nodes = staged(nodes.select("label", "dim", "prefix", "n", "low", "high", name(depth, F.col("prefix")).alias("node"), up.alias("up"), leaf.alias("leaf")))
         step = lambda d, from_: d.select(from_.alias("from"), F.struct("node", "leaf", "low", "high").alias("to"))

@@ -246,7 +246,7 @@ def test_vectors(spark, monkeypatch):
     cls = classes([x[0] for x in rows], linked)
     want = sorted((x[0], n, c, x[0] == c) for x, n, c in zip(rows, links, cls, strict=True))
     assert sum(links) > 100
-    for side, depth in ((1024, 20), (7, 20), (7, 2)):  # one tile, a deep tree, leaves of several parts
+    for side, depth in ((1024, 40), (7, 40), (7, 4)):  # one tile, a deep tree, leaves of several parts
         monkeypatch.setattr(embed, "SIDE", side)
         monkeypatch.setattr(embed, "DEPTH", depth)
         assert sorted(map(tuple, embed.near_vectors(df).collect())) == want
