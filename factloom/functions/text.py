@@ -162,6 +162,11 @@ def json_pair(body: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(body, rf'"{key}"\s*:\s*("[^"]*"|[^,}}\]]+)', 0), F.lit(""))
 
 
+def block_id(pos: Column, block: Column) -> Column:
+    """position:digest, so that repeated blocks of a text have names of their own."""
+    return F.concat_ws(":", pos.cast("string"), F.sha2(F.coalesce(block, F.lit("")), 256))
+
+
 def thousands(value: Column) -> Column:
     """A whole number with points between thousands."""
     return F.translate(F.format_number(value, 0), ",", ".")

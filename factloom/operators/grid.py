@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,21 +40,16 @@ def column_of(grid: DataFrame, id_col: str, heading: str) -> DataFrame:
 
 
 def area_of_union(boxes: DataFrame, key: str) -> DataFrame:
-    """(key, area): area that rectangles (x0, y0, x1, y1) cover together, by a sweep over a page's boxes."""
-    def sweep(g: pd.DataFrame) -> pd.DataFrame:
-        xs = sorted({*g["x0"], *g["x1"]})
-        total = 0.0
-        for a, b in zip(xs, xs[1:], strict=False):
-            top = None
-            for lo, hi in sorted((r.y0, r.y1) for r in g.itertuples() if r.x0 <= a and r.x1 >= b):
-                if top is None or lo > top:
-                    top = lo
-                if hi > top:
-                    total += (b - a) * (hi - top)
-                    top = hi
-        return pd.DataFrame({key: [g[key].iloc[0]], "area": [total]})
-
-    return boxes.where("x1 > x0 and y1 > y0").groupBy(key).applyInPandas(sweep, f"{key} bigint, area double")
+    """(key, area): area that rectangles (x0, y0, x1, y1) cover together. Boxes are cut where any box of their page
+    begins or ends; in each strip the heights that boxes add to those before them are summed, so a page spreads over
+    its strips. Boxes without an area, and null keys or sides, count for nothing."""
+    b = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "x0", "x1", "y0", "y1").distinct()
+    cuts = b.select("_k", F.explode(F.array("x0", "x1")).alias("at")).distinct()
+    strips = cuts.withColumn("to", F.lead("at").over(W.partitionBy("_k").orderBy("at"))).where("to is not null")
+    cut = strips.join(b, "_k").where("x0 <= at and x1 >= to")
+    below = F.max("y1").over(W.partitionBy("_k", "at").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1))
+    adds = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce(below, F.col("y0"))))
+    return cut.withColumn("area", (F.col("to") - F.col("at")) * adds).groupBy(F.col("_k").alias(key)).agg(F.sum("area").alias("area"))
 
 
 def canonical(rows: DataFrame, vocabulary: DataFrame, field: str, token: Column) -> DataFrame:
