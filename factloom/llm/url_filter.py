@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, meet, staged
+from .common import COMMON_RECORDS, UPPER, meet, staged
 
 #: Rules up to this number are broadcast; beyond it both sides are dealt by salted hash prefix.
 BROADCAST_RULES = 100_000
@@ -38,7 +38,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     Each host and path, once, makes one expression for each suffix of the host and each length of the path that
     some rule has (host suffixes only up to the longest rule's labels), so expressions grow with the rules' shapes,
     not with their number. Expressions meet rules on four bytes of their digest; the full digest then has to agree.
-    Rows get their verdict by host and path; those that very many rows have are broadcast.
+    Rows get their verdict by host and path; those that very many rows have, with a rule or none, are broadcast.
     """
     spark = pages.sparkSession
     r = rules.where("host is not null and path is not null and host <> ''").select(
@@ -69,7 +69,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         hit = e.withColumn("salt", F.pmod(F.hash("h", "p"), F.lit(SALTS))).join(salted, (F.col("prefix") == F.col("rprefix")) & (F.col("salt") == F.col("rsalt")))
     hit = hit.where((F.col("digest") == F.col("rdigest")) & (F.col("eh") == F.col("rhost")) & (F.col("ep") == F.col("rpath")))
     rank = F.struct((F.length("rhost") + F.length("rpath")).alias("a"), F.length("rhost").alias("b"), F.concat("rhost", "rpath").alias("rule"), F.col("raction").alias("action"))
-    best = staged(hit.groupBy("h", "p").agg(F.max(rank).alias("best"), F.first("c").alias("c")))
+    best = hit.groupBy("h", "p").agg(F.max(rank).alias("best"))
     total = places.agg(F.sum("c").alias("n")).first()["n"] or 0
-    judged = meet(base, best, ["h", "p"], "c", total, "left")
+    # Common places without a rule are records too, so that their rows aren't dealt out either.
+    found = staged(places.join(best, ["h", "p"], "left").where(F.col("best").isNotNull() | (F.col("c") * COMMON_RECORDS > total)))
+    judged = meet(base, found, ["h", "p"], "c", total, "left")
     return judged.select(*kept, F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
