@@ -32,13 +32,46 @@ def ratio(a: str, b: str) -> float:
     return 100.0 * 2 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def partial_ratio(quote: str, text: str) -> float:
-    """The best ratio of the shorter text with a stretch of its length in the longer one."""
-    if len(quote) > len(text):
-        quote, text = text, quote
-    if not quote:
-        return 0.0
-    return max(ratio(quote, text[i : i + len(quote)]) for i in range(len(text) - len(quote) + 1))
+def best_stretch(short: str, text: str, least: float) -> tuple[float, int]:
+    """(score, start) of the stretch of text, as long as short, that is most like it: 100 * common / len(short); the
+    first of several, (0, -1) where none reaches least.
+
+    A stretch that reaches it lacks at most `spare` characters of short and has as many others, so of 2 * spare + 1
+    pieces of short one stands in it unbroken, at most `spare` places off: only there stretches are compared. One
+    place further on, the common subsequence is at most one longer, so places that cannot do better are skipped."""
+    n = len(short)
+    need = -int(-least * n // 100)
+    spare = n - need
+    if not n or len(text) < n:
+        return 0.0, -1
+    if not spare:
+        at = text.find(short)
+        return (100.0, at) if at >= 0 else (0.0, -1)
+    starts = []
+    for i in range(2 * spare + 1):
+        a, b = i * n // (2 * spare + 1), (i + 1) * n // (2 * spare + 1)
+        at = text.find(short[a:b])
+        while at >= 0:
+            starts.append(at - a)
+            at = text.find(short[a:b], at + 1)
+    place: dict[str, int] = {}
+    for i, c in enumerate(short):
+        place[c] = place.get(c, 0) | 1 << i
+    full, best, found, at = (1 << n) - 1, need - 1, -1, 0
+    for s in sorted(starts):
+        at = max(at, s - spare)
+        while at <= min(s + spare, len(text) - n):
+            row = full
+            for c in text[at : at + n]:
+                u = row & place.get(c, 0)
+                row = (row + u | row - u) & full
+            common = n - row.bit_count()
+            if common > best:
+                best, found = common, at
+                if common == n:
+                    return 100.0, at
+            at += best + 1 - common
+    return (100.0 * best / n, found) if found >= 0 else (0.0, -1)
 
 
 def folded(text: str) -> str:
@@ -46,35 +79,22 @@ def folded(text: str) -> str:
     return re.sub(r"\s+", " ", "".join(c for c in t if not unicodedata.combining(c))).strip()
 
 
-#: Characters that a window is wider than the quote, and the least score of a match.
-WINDOW, LEAST = 300, 92.0
+#: Characters round a match in which the quote's numbers must stand, and the least score of a match.
+ROUND, LEAST = 300, 92.0
 _NUMBER = re.compile(r"\d[\d.,/]*")
 
 
-def best_window(quote: str, text: str) -> tuple[float, int]:
-    """(score, start) of the best window of the text; every place of the quote lies whole in a window."""
-    width = len(quote) + WINDOW
-    if len(text) <= width:
-        return partial_ratio(quote, text), 0
-    best, at = 0.0, -1
-    for start in range(0, len(text) - 1, min(width // 2, WINDOW)):
-        if (s := partial_ratio(quote, text[start : start + width])) > best:
-            best, at = s, start
-            if s >= 100:
-                break
-    return best, at
-
-
 def locate(quote: str, text: str) -> tuple[str, float]:
-    """(mode, score): fuzzy where a window is alike enough and holds all numbers of the quote, else failed. Numbers
-    are what values are, so a number that the source lacks refuses the match whatever the score."""
+    """(mode, score): fuzzy where a stretch of the text is alike enough and all numbers of the quote stand round it,
+    else failed; the score is 0 where no stretch is. Numbers are what values are, so a number that the source lacks
+    refuses the match whatever the score. A text shorter than the quote is sought in the quote."""
     q, t = folded(quote), folded(text)
     if not q or not t:
         return "failed", 0.0
-    score, at = best_window(q, t)
-    if score < LEAST:
-        return "failed", round(score, 2)
-    near = t[max(0, at - WINDOW) : max(0, at - WINDOW) + len(q) + 3 * WINDOW]
+    score, at = best_stretch(q, t, LEAST) if len(q) <= len(t) else best_stretch(t, q, LEAST)
+    if at < 0:
+        return "failed", 0.0
+    near = t[max(0, at - ROUND) : at + len(q) + ROUND] if len(q) <= len(t) else t
     lacking = [n for n in (m.rstrip(".,/") for m in _NUMBER.findall(q)) if n not in near]
     return ("failed" if lacking else "fuzzy"), round(score, 2)
 
@@ -91,14 +111,20 @@ def coverage(query: list[str], candidate: list[str], least: float = 85.0) -> flo
     return sum(any(q == c or ratio(q, c) >= least for c in candidate) for q in query) / len(query)
 
 
-@F.pandas_udf(_pair("coverage", T.DoubleType(), "score"))
-def match_score(query: pd.Series, candidate: pd.Series) -> pd.DataFrame:
-    """Token coverage, and the ratio of the sorted token sets."""
-    out = []
-    for q, c in zip(query, candidate, strict=True):
-        a, b = folded(q or "").split(), folded(c or "").split()
-        out.append((round(coverage(a, b), 4), round(ratio(" ".join(sorted(set(a))), " ".join(sorted(set(b)))), 2)))
-    return pd.DataFrame(out, columns=["coverage", "score"])
+def set_ratio(a: str, b: str) -> float:
+    """ratio of two texts' words, folded, in order and once each; two digits."""
+    return round(ratio(*(" ".join(sorted(set(folded(x).split()))) for x in (a, b))), 2)
+
+
+@F.pandas_udf(T.DoubleType())
+def set_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """ratio of two texts, null where one is."""
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import locate_fuzzy, match_score
+from ..functions.fuzzy import locate_fuzzy
 from ..functions.numbers import parse_number, whole_tokens
 from ..functions.text import fold, squeeze
 
@@ -67,19 +67,3 @@ def unsupported_numbers(text: Column, sources: Column) -> Column:
     """Numbers of a text that none of the sources (array<string>) has: what a written argument may not say."""
     return F.array_except(F.array_distinct(whole_tokens(text)), F.flatten(F.transform(sources, whole_tokens)))
 
-
-def resolve(queries: DataFrame, catalogue: DataFrame, query: str, name: str, least_coverage: float = 0.75, least_score: float = 85.0) -> DataFrame:
-    """(query, outcome, name, coverage, score): the one catalogue name that fits a query, or why there is none.
-
-    queries is a stated set; it meets every name. The greatest coverage wins, then the greatest score; a tie is
-    ambiguous, a coverage or score below the least is unknown, and neither picks a name.
-    """
-    q = queries.select(F.col(query).alias("query")).distinct()
-    pairs = catalogue.select(F.col(name).alias("name")).distinct().crossJoin(F.broadcast(q)).withColumn("m", match_score(F.col("query"), F.col("name")))
-    pairs = pairs.select("query", "name", "m.coverage", F.when(fold(F.col("query")) == fold(F.col("name")), 100.0).otherwise(F.col("m.score")).alias("score"))
-    key = F.struct("coverage", "score")
-    best = pairs.groupBy("query").agg(F.max(key).alias("best"))
-    top = pairs.join(best, "query").where(key == F.col("best")).groupBy("query").agg(F.count("*").alias("n"), F.min("name").alias("name"), F.max("coverage").alias("coverage"), F.max("score").alias("score"))
-    weak = (F.col("coverage") < least_coverage) | (F.col("score") < least_score)
-    outcome = F.when(weak, "unknown").when(F.col("n") > 1, "ambiguous").otherwise("found")
-    return top.select("query", outcome.alias("outcome"), F.when(outcome == "found", F.col("name")).alias("name"), "coverage", "score")

@@ -176,14 +176,6 @@ def divergence_recall(spark, sf_dir):
     return evaluate.divergence_recall(expected, decide.decide(m.observations(spark, sf_dir), _ospec(spark)), ["field"])
 
 
-@query("""WITH q AS (SELECT p_partkey, p_brand, p_partkey % 4 <> 0 AS there, p_partkey % 7 <> 0 AS hit FROM part)
-SELECT p_brand, count(*) AS n, count(*) FILTER (CASE WHEN there THEN hit ELSE NOT hit END) AS right, count(*) FILTER (NOT there) AS negative FROM q GROUP BY 1""")
-def resolver_accuracy(spark, sf_dir):
-    k = F.col("p_partkey")
-    cases = table(spark, sf_dir, "part").select("p_brand", (k % 4 != 0).alias("exists"), (k % 7 != 0).alias("decided"), F.lit(True).alias("suggested"))
-    return evaluate.resolver_accuracy(cases, ["p_brand"])
-
-
 _OVERRIDES = """o AS (SELECT p_partkey AS entity, unnest([struct_pack(field := 'price', pct := CAST(p_size AS DOUBLE) * 2 - 40, value := NULL::DOUBLE), struct_pack(field := CASE WHEN p_size % 3 = 0 THEN 'colour' ELSE 'size' END, pct := CASE WHEN p_size % 2 = 0 THEN 10.0::DOUBLE END, value := CASE WHEN p_size % 5 = 0 THEN 1.0::DOUBLE END)], recursive := true) FROM part),
 w AS (SELECT *, CASE WHEN (pct IS NOT NULL) = (value IS NOT NULL) THEN 'not_one_form' WHEN field = 'colour' THEN 'unknown_field' WHEN abs(pct) > 50 THEN 'beyond_range' END AS fault FROM o)"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import extract, ground, quality, tables
+from ..operators import extract, ground, quality, spelling, tables
 from . import mapping as m
 from .decisions import _ospec
 from .registry import query, table
@@ -124,7 +124,7 @@ def grounding_fuzzy(spark, sf_dir):
 @query()
 def fuzzy_resolve(spark, sf_dir):
     q = tables.literal(spark, [("small rings",), ("rde widget",), ("blue bolt",), ("ring",), ("turbo encabulator",)], "query string")
-    return ground.resolve(q, table(spark, sf_dir, "part"), "query", "p_name")
+    return spelling.resolve(q, table(spark, sf_dir, "part"), "query", "p_name")
 
 
 @query()

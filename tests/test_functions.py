@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,17 +62,45 @@ def test_text(spark):
 
 def test_ratio():
     assert fuzzy.ratio("abc", "abc") == 100 and fuzzy.ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
-    assert fuzzy.partial_ratio("bcd", "abcde") == 100
+    assert fuzzy.best_stretch("bcd", "abcde", 92.0) == (100.0, 1) and fuzzy.locate("zzabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyy")[0] == "fuzzy"
     assert fuzzy.locate("torque of 900 nm at the rear axle", "a torque of 583 nm at the rear axle here")[0] == "failed"
     assert fuzzy.locate("torque of 583 nm at the rear axle", "a torqve of 583 nm at the rear axle here")[0] == "fuzzy"
 
 
-def test_windows_hold_every_place_of_a_quote(monkeypatch):
-    monkeypatch.setattr(fuzzy, "partial_ratio", lambda quote, window: 100.0 * (quote in window))
-    for n in (1, 34, 250, 300, 1000):
-        quote = "q" * n
-        for offset in range(3 * (n + fuzzy.WINDOW)):
-            assert fuzzy.best_window(quote, "x" * offset + quote + "x" * 2000)[0] == 100
+def slow_stretch(short, text, least):
+    """The best stretch by looking at all."""
+    n = len(short)
+    scores = [100.0 * fuzzy.common(short, text[i : i + n]) / n for i in range(len(text) - n + 1)] if n else []
+    best = max(scores, default=0.0)
+    return (best, scores.index(best)) if scores and best >= least else (0.0, -1)
+
+
+def test_best_stretch_is_that_of_the_whole_scan():
+    r = random.Random(2)
+    for k in range(900):
+        alphabet = "ab" if k % 3 == 0 else "abcdefgh "
+        text = "".join(r.choices(alphabet, k=r.randrange(0, 160)))
+        n = r.randrange(0, 50)
+        at = r.randrange(0, max(1, len(text) - n))
+        short = list(text[at : at + n])
+        for _ in range(r.randrange(0, 5)):
+            if short:
+                i = r.randrange(len(short))
+                short[i : i + r.randrange(2)] = r.choices(alphabet, k=r.randrange(2))
+        for least in (92.0, 80.0, 99.0):
+            assert fuzzy.best_stretch("".join(short), text, least) == slow_stretch("".join(short), text, least)
+
+
+def test_a_long_text_is_searched_in_no_time():
+    r = random.Random(3)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randrange(2, 9))) for _ in range(400)]
+    text = " ".join(r.choices(words, k=180_000))[:1_000_000]
+    quote = text[700_000:700_197]
+    bad = quote[:50] + "#" + quote[51:120] + "##" + quote[121:]
+    start = time.perf_counter()
+    assert fuzzy.locate(bad, text)[0] == "fuzzy" and abs(fuzzy.best_stretch(bad[:197], text, 92.0)[1] - 700_000) <= 15
+    assert fuzzy.locate("x".join(quote[::2]), text)[0] == "failed"
+    assert time.perf_counter() - start < 6
 
 
 def test_common_is_a_longest_common_subsequence():

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import compare, decide, extract, facts, ground, quality, radar, score, tables
+from factloom.operators import compare, decide, extract, facts, ground, quality, radar, score, spelling, tables
 from factloom.plans import mapping
 
 FACT = "entity bigint, field string, num double, flag boolean, items array<string>, txt string, status string"
@@ -149,8 +149,8 @@ def test_numbers_need_proof(spark):
 def test_resolver_refuses_what_it_does_not_know(spark):
     names = spark.createDataFrame([("small ring",), ("small bolt",), ("red widget",)], "p_name string")
     q = spark.createDataFrame([("red widgte",), ("small",), ("turbo",)], "query string")
-    assert {r["query"]: r["outcome"] for r in ground.resolve(q, names, "query", "p_name", least_score=50).collect()} == {"red widgte": "unknown", "small": "ambiguous", "turbo": "unknown"}
-    one = ground.resolve(spark.createDataFrame([("ring small",)], "query string"), names, "query", "p_name").first()
+    assert {r["query"]: r["outcome"] for r in spelling.resolve(q, names, "query", "p_name", least_score=50).collect()} == {"red widgte": "unknown", "small": "ambiguous", "turbo": "unknown"}
+    one = spelling.resolve(spark.createDataFrame([("ring small",)], "query string"), names, "query", "p_name").first()
     assert one["outcome"] == "found" and one["name"] == "small ring"
 
 
