@@ -31,12 +31,9 @@ def _has(text: Column, word: Column) -> Column:
 
 
 def versions_named(text: Column, names: list[str] = VERSIONS) -> Column:
-    """array<string>, sorted: the names that a text has as whole words, each taken out before shorter ones are sought."""
-    left, found = fold(F.coalesce(text, F.lit(""))), []
-    for n in sorted(names, key=lambda x: (-len(x), x)):
-        found.append(F.when(left.rlike(rf"\b{n}\b"), F.lit(n)))
-        left = F.regexp_replace(left, rf"\b{n}\b", " ")
-    return F.array_sort(F.array_compact(F.array(*found)))
+    """array<string>, sorted: the names that a text has as whole words, from left to right, the longest first."""
+    longest = "|".join(sorted(names, key=lambda x: (-len(x), x)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(rf"\b({longest})\b"), F.lit(1))))
 
 
 def claim_refused(version: Column, quote: Column, names: list[str] = VERSIONS) -> Column:

@@ -35,9 +35,38 @@ def error_ratio(events: DataFrame, failed: Column, size: str, ts: str = "ts", la
     return g.select(F.col("w.start").alias("window_start"), "failed", "n", F.round(F.col("failed") / F.col("n"), 4).alias("share"))
 
 
-def percentile_windows(events: DataFrame, size: str, p: float, by: list[str] = (), ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    g = timed(events, ts, late).groupBy(F.window(ts, size).alias("w"), *by).agg(F.percentile("value", p).alias("p"), F.count("*").alias("n"))
-    return g.select(F.col("w.start").alias("window_start"), *by, "n", F.round("p", 4).alias("p"))
+def percentile_windows(events: DataFrame, size: str, p: float, by: list[str] = (), ts: str = "ts") -> DataFrame:
+    """Batch: (window_start, by, n, p), the exact quantile with values between two ranks interpolated. Equal values of
+    a window are counted first, and ranks are running sums of the counts: no aggregate buffers a window's values. A
+    stream keeps bucket counts instead, see bucket_quantile."""
+    w = F.window(F.col(ts).cast("timestamp"), size)["start"]
+    counts = events.groupBy(w.alias("window_start"), *by, "value").agg(F.count("*").alias("c"))
+    of = W.partitionBy("window_start", *by)
+    c = counts.withColumn("n", F.sum("c").over(of)).withColumn("known", F.sum(F.when(F.col("value").isNotNull(), F.col("c"))).over(of))
+    c = c.withColumn("upto", F.sum("c").over(of.orderBy(F.asc_nulls_last("value")))).withColumn("rank", p * (F.col("known") - 1))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("value")))
+    g = c.groupBy("window_start", *by, "n", "rank").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
+    return g.select("window_start", *by, "n", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")), 4).alias("p"))
+
+
+def bucket_quantile(events: DataFrame, size: str, p: float, edges: list[float], by: list[str] = (), ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """(window_start, by, n, p): a quantile of values in windows from counts of buckets, for batch and stream alike.
+
+    edges: upper ends of the buckets, rising; values above the last one have a bucket without end. Inside the bucket
+    that the rank falls into, values are taken to lie evenly, the first one beginning at 0 (at its edge, if that isn't
+    above 0); a rank in the bucket without end gives the last edge. The error is at most that bucket's width. A
+    window's state is one count for each edge, and counts of parts add up, so no value is kept. Null values and NaN
+    count in n and, as the largest, in the rank."""
+    n_below = [F.count_if((F.col("value") <= e) & ~F.isnan("value")).alias(f"_le{i}") for i, e in enumerate(edges)]
+    g = timed(events, ts, late).groupBy(F.window(ts, size).alias("w"), *by).agg(F.count("*").alias("n"), *n_below)
+    rank = p * F.col("n")
+    out = F.lit(float(edges[-1]))
+    for i in reversed(range(len(edges))):
+        low = edges[i - 1] if i else min(0.0, edges[0])
+        past = F.col(f"_le{i - 1}") if i else F.lit(0)
+        inside = low + (edges[i] - low) * (rank - past) / (F.col(f"_le{i}") - past)
+        out = F.when((F.col(f"_le{i}") >= rank) & (F.col(f"_le{i}") > past), inside).otherwise(out)
+    return g.select(F.col("w.start").alias("window_start"), *by, "n", F.round(out, 4).alias("p"))
 
 
 def histogram(events: DataFrame, edges: list[float], by: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def rows(df):
     lambda e: monitor.session_windows(e, "user_id", "15 minutes"),
     lambda e: monitor.error_ratio(e, F.col("event_type") == "error", "1 hour"),
     lambda e: monitor.over_limit(e, "user_id", "1 hour", 2),
-    lambda e: monitor.percentile_windows(e, "1 hour", 0.95),
+    lambda e: monitor.bucket_quantile(e, "1 hour", 0.95, [10.0, 50.0, 100.0, 150.0]),
 ], ids=["tumbling", "sliding", "sessions", "ratio", "limit", "p95"])
 def test_stream_is_batch(spark, events, build):
     assert rows(streamed(spark, events, build, "out")) == rows(build(batch(spark, events)))
