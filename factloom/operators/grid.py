@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import label
+
 CELL = "table_id bigint, row int, col int, span int, value string"
 
 
@@ -39,6 +41,34 @@ def column_of(grid: DataFrame, id_col: str, heading: str) -> DataFrame:
     return body.join(heads, id_col).where(F.col("col") == F.col("at")).where("value is not null").select(id_col, "row", "label", "value")
 
 
+#: Marks that fill a cell without a value.
+NO_CELL = r"^[\s\-–—•]*$"
+
+
+def cell_facts(grid: DataFrame, id_col: str, heading: str, rules: list[tuple[str, str, int, str, str, str | None, str]]) -> DataFrame:
+    """(id_col, row, label, field, raw, quote, num, flag, items, txt, status, reason): what the cells of one version's
+    column say, as facts.
+
+    rules: label as label() folds it, pattern, group of the value, field, kind, dimension, unit put behind it; a cell
+    whose value no pattern of its label fits gives nothing, one that several rules fit gives a fact of each field, the
+    first rule of a field winning. A label may carry a footnote's digit behind its last word. The quote is the cell as
+    it stands, since label and value are not side by side in the source. Cells of marks alone have no value; merged
+    cells reach as far as their span, and labels as far as the next."""
+    from .labels import normalised
+    from .tables import literal
+
+    spark = grid.sparkSession
+    table = literal(spark, [(i, *r) for i, r in enumerate(rules)], "nth int, known string, pattern string, grp int, field string, kind string, dimension string, unit string")
+    body = column_of(grid, id_col, heading).where(~F.col("value").rlike(NO_CELL)).withColumn("_l", label(F.col("label")))
+    bare = F.regexp_replace("_l", r"([a-z)])[0-9]$", "$1")
+    j = body.join(table, (F.col("known") == F.col("_l")) | (F.col("known") == bare))
+    raw = F.call_function("regexp_extract", F.trim("value"), F.col("pattern"), F.col("grp"))
+    j = j.withColumn("raw", raw).where("raw <> ''")
+    first = j.groupBy(id_col, "row", "field").agg(F.min_by(F.struct("label", "raw", "value", "kind", "dimension", "unit"), "nth").alias("f")).select(id_col, "row", "field", "f.*")
+    said = F.when(F.col("unit") == "", F.col("raw")).otherwise(F.concat_ws(" ", "raw", "unit"))
+    return first.withColumn("n", normalised(F.col("kind"), said, F.col("dimension"))).select(id_col, "row", "label", "field", "raw", F.col("value").alias("quote"), "n.*")
+
+
 def area_of_union(boxes: DataFrame, key: str) -> DataFrame:
     """(key, area): area that rectangles (x0, y0, x1, y1) cover together. Boxes are cut where any box of their page
     begins or ends; in each strip the heights that boxes add to those before them are summed, so a page spreads over
