@@ -78,19 +78,29 @@ def quote_round(line: Column, value: Column, at: Column, words: int = QUOTE_WORD
     return F.when(first(bare, words - 1) == bare, bare).otherwise(cut)
 
 
-def facts(docs: DataFrame, rules: list[tuple[str, str, int]] = FACT_RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def facts(docs: DataFrame, rules: list[tuple[str, str, int]] = FACT_RULES, text_col: str = "text", id_col: str = "doc_id", places: bool = True) -> DataFrame:
     """(id_col, pos, rule, nth, value, at, line, quote): every match of every rule in every line, with the 1-based
     place of the value in the line and the words round it as its quote. All rules run in one pass over the lines;
-    their patterns never match nothing."""
+    their patterns never match nothing. places=False leaves at and quote out, and the work for them."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  each pattern cuts a line once
+
     def matches(name: str, pattern: str, group: int) -> Column:
         found = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))
+        one = lambda v, i, *at: F.struct(F.lit(name).alias("rule"), i.alias("nth"), v.alias("value"), *at)
+        if not places:
+            return F.transform(found(group), lambda v, i: one(v, i))
         size = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
         # What lies before a match: the pieces between the matches so far, and these.
-        before = lambda i: size(F.slice(F.split("line", pattern), F.lit(1), i + 1)) + size(F.slice(found(0), F.lit(1), i))
-        return F.transform(found(group), lambda v, i: F.struct(F.lit(name).alias("rule"), i.alias("nth"), v.alias("value"), (before(i) + F.instr(F.get(found(0), i), v)).alias("at")))
+        before = lambda c, i: size(F.slice(c["pieces"], F.lit(1), i + 1)) + size(F.slice(c["whole"], F.lit(1), i))
+        cut = F.struct(F.split("line", pattern).alias("pieces"), found(0).alias("whole"), found(group).alias("values"))
+        placed = once(cut, lambda c: F.transform(c["values"], lambda v, i: one(v, i, (before(c, i) + F.instr(F.get(c["whole"], i), v)).alias("at"))))
+        return F.when(F.col("line").rlike(pattern), placed)
 
     found = [matches(*rule) for rule in rules]
-    out = lines(docs, text_col, id_col).select(id_col, "pos", "line", F.explode(F.concat(*found)).alias("f"))
+    every = F.flatten(F.array_compact(F.array(*found))) if places else F.concat(*found)
+    out = lines(docs, text_col, id_col).select(id_col, "pos", "line", F.explode(every).alias("f"))
+    if not places:
+        return out.select(id_col, "pos", "f.rule", F.col("f.nth").cast("int").alias("nth"), "f.value", "line")
     out = out.select(id_col, "pos", "f.rule", F.col("f.nth").cast("int").alias("nth"), "f.value", "f.at", "line")
     return out.withColumn("quote", quote_round(F.col("line"), F.col("value"), F.col("at")))
 

@@ -33,11 +33,17 @@ OTHER_DATES = r"\b(?:copyright|captur|colet|acess|consultad|publica|published|po
 _LINK = r"https?://[^\s)]+"
 
 
-def refusal(field: Column, quote: Column, rules: list[tuple] = REFUSALS) -> Column:
-    """Why a quote cannot carry a field's value: the first rule that fits, else null."""
+#: What the address of a shop of accessories has, whose pages offer options.
+OPTIONS_URL = "acessorios."
+
+
+def refusal(field: Column, quote: Column, rules: list[tuple] = REFUSALS, url: Column | None = None) -> Column:
+    """Why a quote cannot carry a field's value: the first rule that fits, else null. On pages of accessories every item
+    is an option, whatever the quote says."""
     t, out = fold(quote), None
+    shop = F.contains(F.lower(F.coalesce(url, F.lit(""))), F.lit(OPTIONS_URL)) if url is not None else F.lit(False)
     for fields, says, unless, reason in rules:
-        hit = field.isin(fields) & t.rlike(says)
+        hit = field.isin(fields) & (t.rlike(says) | shop if reason == "optional_item" else t.rlike(says))
         hit = hit & ~t.rlike(unless) if unless else hit
         out = F.when(hit, reason) if out is None else out.when(hit, reason)
     return out

@@ -122,16 +122,6 @@ def version_names(spark, sf_dir):
         text.label(F.concat(F.lit("Of "), name, F.lit(" (net)"))).alias("label_text"), numbers.display_date(F.date_format(day, "yyyy-MM-dd")).alias("shown"))
 
 
-_CLAIM = [(0, "A marca declara 5,8 s", ""), (1, "", "6,5 s (teste X)"), (2, "declarado; medimos 6,5 s", ""), (3, "0-100 km/h: 5,8 s", "")]
-
-
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'declared' WHEN 3 THEN NULL ELSE 'measured' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'declara' WHEN 1 THEN 'teste' WHEN 2 THEN 'medimos' END AS term FROM part")
-def claim_types(spark, sf_dir):
-    """Whether a quote says that its value was measured or declared, and by which word."""
-    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in _CLAIM]), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.claim(pick(2), pick(1)).alias("c")).select("p_partkey", "c.kind", "c.term")
-
-
 _LACK = "list_filter({}, lambda x: NOT list_contains({}, x))"
 
 

@@ -57,19 +57,11 @@ def exact_duplicates(spark, sf_dir):
 _FOUND = _LINES + ", f AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, line, '{n}' AS rule, unnest(regexp_extract_all(line, '{p}', {g})) AS value, generate_subscripts(regexp_extract_all(line, '{p}', {g}), 1) - 1 AS nth FROM l" for n, p, g in [(n, p.replace("'", "''"), g) for n, p, g in extract.FACT_RULES]) + ")"
 
 
-@query(f"WITH {_FOUND} SELECT doc_id, CAST(pos AS BIGINT) AS pos, rule, CAST(nth AS BIGINT) AS nth, value, sha256(left(line, 200)) AS quote FROM f")
+@query(f"WITH {_FOUND} SELECT doc_id, CAST(pos AS BIGINT) AS pos, rule, CAST(nth AS BIGINT) AS nth, value, sha256(line) AS quote FROM f")
 def rule_extraction(spark, sf_dir):
-    return extract.facts(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value", F.sha2(F.substring("line", 1, 200), 256).alias("quote"))
-
-
-@query(f"""WITH {_FOUND}, q AS (SELECT rule, value, left(line, 200) AS quote FROM f), w AS (SELECT *, instr(quote, value) AS pos FROM q),
-x AS (SELECT *, regexp_replace(lower(substr(quote, greatest(1, pos - 80), least(80, pos - 1))), '(?s)^.*[.!?\\n]', '') AS before FROM w)
-SELECT rule, count(*) AS n, count(*) FILTER (NOT regexp_matches(before, '{text.NEGATION}')) AS n_affirmed FROM x GROUP BY 1""")
-def negation_guard(spark, sf_dir):
-    f = extract.facts(table(spark, sf_dir, "documents"))
-    q = F.substring("line", 1, 200)
-    ok = ~text.negated(q, F.instr(q, F.col("value")))
-    return f.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_affirmed"))
+    """Every fact with the whole line that it stands in."""
+    f = extract.facts(table(spark, sf_dir, "documents"), places=False)
+    return f.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value", F.sha2("line", 256).alias("quote"))
 
 
 # A mark before each match parts the line into what is before the first match, then pieces that open with a match.
@@ -82,19 +74,28 @@ _INK, _GAP = r"[^ \t\x0B\f\r]", r"[ \t\x0B\f\r]"
 c AS (SELECT *, regexp_extract(left_side || substr(line, place), '^{_INK}*(?:{_GAP}+{_INK}+){{0,24}}', 0) AS cut FROM b)
 SELECT doc_id, CAST(pos AS BIGINT) AS pos, rule, CAST(nth AS BIGINT) AS nth, value, place AS at, sha256(CASE WHEN len(regexp_extract_all(line, '{_INK}+')) <= 25 THEN bare ELSE cut END) AS quote FROM c""")
 def fact_quotes(spark, sf_dir):
-    """Every fact with its place and the words round it; rule_extraction quotes the line's first 200 characters."""
+    """Every fact with its place and the words round it."""
     return extract.facts(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value", F.col("at").cast("bigint").alias("at"), F.sha2("quote", 256).alias("quote"))
 
 
-@query(f"""WITH {_PLACED}, x AS (SELECT rule, regexp_replace(lower(substr(line, greatest(1, place - 80), least(80, place - 1))), '(?s)^.*[.!?\n]', '') AS before FROM f)
+_BEFORE = "regexp_replace(lower(substr(line, greatest(1, place - 80), least(80, place - 1))), '(?s)^.*[.!?\n]', '')"
+
+
+@query(f"""WITH {_PLACED}, x AS (SELECT rule, {_BEFORE} AS before FROM f)
 SELECT rule, count(*) AS n, count(*) FILTER (NOT regexp_matches(before, '{text.NEGATION}')) AS n_affirmed FROM x GROUP BY 1""")
 def negation_at_place(spark, sf_dir):
-    """Facts by rule, and how many no negation governs at their place; negation_guard looks for the value's first
-    place in the line's first 200 characters."""
+    """Facts by rule, and how many no negation governs at their place."""
     f = extract.facts(table(spark, sf_dir, "documents"))
     return f.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(~text.negated(F.col("line"), F.col("at"))).alias("n_affirmed"))
 
 
+@query(f"""WITH {_PLACED} SELECT doc_id, CAST(pos AS BIGINT) AS pos, rule, CAST(nth AS BIGINT) AS nth, value FROM f WHERE NOT regexp_matches({_BEFORE}, '{text.NEGATION}')""")
+def negation_guard(spark, sf_dir):
+    """The facts that no negation governs."""
+    f = extract.without_negated(extract.facts(table(spark, sf_dir, "documents")))
+    return f.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "rule", F.col("nth").cast("bigint").alias("nth"), "value")
+
+
 @query("""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9.,/]*'), lambda x: regexp_replace(x, '[.,/]+$', ''))) AS d FROM documents),
 b AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9.,/]*'), lambda x: regexp_replace(x, '[.,/]+$', ''))) AS d FROM benchmark)
 SELECT doc_id, CAST(len(coalesce(n.d, [])) AS BIGINT) AS n_numbers, CAST(len(list_filter(coalesce(n.d, []), lambda x: NOT list_contains(coalesce(b.d, []), x))) AS BIGINT) AS n_unsupported FROM n LEFT JOIN b ON item_id = doc_id""")
@@ -159,7 +160,7 @@ def _best_first():
 
 
 @query(f"WITH {_URL}, c AS (SELECT page_id, host, url, {_CLASS} AS class FROM k) SELECT page_id, class, CAST(CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 WHEN 'other' THEN 4 END AS BIGINT) AS tier, class <> 'rejected' AS accepted, place FROM (SELECT *, row_number() OVER (ORDER BY class = 'rejected', CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 ELSE 4 END, url, page_id) AS place FROM c) WHERE place <= 100")
-def url_classify(spark, sf_dir):
+def url_class_top_100(spark, sf_dir):
     """A report of the hundred best sources: accepted ones first, then by tier and address."""
     from pyspark.sql import Window as W
 
@@ -169,7 +170,7 @@ def url_classify(spark, sf_dir):
 
 @query(f"WITH {_URL}, c AS (SELECT page_id, host, url, {_CLASS} AS class FROM k) SELECT page_id, url, class, CAST(CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 WHEN 'other' THEN 4 END AS BIGINT) AS tier, class <> 'rejected' AS accepted FROM c ORDER BY class = 'rejected', CASE class WHEN 'official' THEN 1 WHEN 'press' THEN 3 ELSE 4 END, url, page_id")
 def url_classes(spark, sf_dir):
-    """Every page with its class, the best first by a range sort; url_classify is the head of it."""
+    """Every page with its class, the best first by a range sort; url_class_top_100 is the head of it."""
     return _classified(spark, sf_dir).orderBy(*_best_first())
 
 

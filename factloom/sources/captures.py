@@ -12,10 +12,11 @@ from ..operators.tables import latest
 META = "source_id string, version_id string, url_final string, http_status int, tier int, kind string, status string, captured_at string, text_path string, sha256 string, bytes long, note string"
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
+def captures(spark: SparkSession, path: str, name: str = "meta.json", multi_line: bool = True) -> DataFrame:
     """Every meta.json under path as a row, with url_key, capture time and folder; files that are not JSON objects
-    come out as rows of nulls with their text in _corrupt."""
-    raw = spark.read.schema(META + ", _corrupt string").option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    come out as rows of nulls with their text in _corrupt. name: a pattern of the files' names; without multi_line a
+    file holds a capture in each line."""
+    raw = spark.read.schema(META + ", _corrupt string").option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
     return raw.select("*", folder.alias("folder")).withColumn("url_key", url_key(F.col("url_final"))).withColumn("captured", F.try_to_timestamp("captured_at"))
 
@@ -61,7 +62,7 @@ def import_table(spark: SparkSession, path: str, required: list[str], form: str
 def lineup(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(name, year, price, url, header): rows of pipe tables name | year | price | url, with the lines before the
     table as their provenance."""
-    header = F.trim(F.regexp_extract(F.col(text_col), r"(?s)^(.*?)\n\|", 1))
+    header = F.regexp_replace(F.regexp_extract(F.col(text_col), r"(?s)^(.*?)\n\|", 1), r"^\s+|\s+$", "")
     rows = texts.select(header.alias("header"), F.explode(F.split(text_col, "\n")).alias("line")).where(F.col("line").startswith("|"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     rows = rows.withColumn("c", cells)
@@ -83,8 +84,21 @@ def price_reply(body: Column) -> Column:
     return F.struct(field("code").alias("code"), parse_price(field("price")).alias("price"), field("month").alias("month"), F.nullif(F.regexp_extract(body, r'"price"\s*:\s*("[^"]*"|[0-9.]+)', 0), F.lit("")).alias("quote"))
 
 
+def western(content: Column) -> Column:
+    """Windows-1252 bytes as text; every byte is a character there."""
+    upper = bytes(range(128, 160))
+    return F.translate(F.decode(content, "iso-8859-1"), upper.decode("latin-1"), "".join(bytes([b]).decode("cp1252", "replace") for b in upper))
+
+
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 where it is valid, else Windows-1252; a leading byte order mark is dropped."""
-    upper = bytes(range(128, 160))
-    western = F.translate(F.decode(content, "iso-8859-1"), upper.decode("latin-1"), "".join(bytes([b]).decode("cp1252", "replace") for b in upper))
-    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), western), "^﻿", "")
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), western(content)), "^\ufeff", "")
+
+
+def decoded_html(content: Column) -> Column:
+    """Text of a page's bytes: UTF-16 behind its byte order mark, Windows-1252 where the first 1024 bytes declare it or
+    Latin-1, which browsers read alike, else as decoded()."""
+    head = F.decode(F.substring(content, 1, 1024), "iso-8859-1")
+    declared = F.lower(F.regexp_extract(head, r"(?i)<meta[^>]*charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1))
+    mark = F.hex(F.substring(content, 1, 2))
+    return F.when(mark.isin("FFFE", "FEFF"), F.regexp_replace(F.decode(content, "utf-16"), "^\ufeff", "")).when(declared.isin("iso-8859-1", "latin1", "windows-1252", "cp1252"), western(content)).otherwise(decoded(content))
