@@ -16,8 +16,8 @@ RANKS = 32768
 #: Most words of 64 bits in the bit table that finds lines again; it is broadcast, so this bounds its size.
 BIT_WORDS = 1 << 20
 _LOW = (1 << 48) - 1
-#: More places than a prefix has.
-_PLACES = 1 << 31
+#: Sets of up to so many words are told apart by size, modulo 64, when a list says which sizes it holds.
+SHORT = 100
 _LAST = (1 << 63) - 1
 
 
@@ -55,22 +55,19 @@ def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
 
 
-def _need(share: int, n: Column) -> Column:
-    """Common words that two sets of together n words must have."""
-    return F.ceil(share * n / (100 + share))
-
-
-def _fits(share: int, xn: Column, xi: Column) -> Column:
-    """Length and positional filters on a row (n, i) and another's size and place."""
-    n, i = F.col("n"), F.col("i")
-    return (share * F.greatest(n, xn) <= 100 * F.least(n, xn)) & (F.least(n - i, xn - xi) >= _need(share, n + xn))
+def _largest(share: int) -> Column:
+    """The most words that a partner of a row (n, i) can have, met at its place i: the common words begin there."""
+    return F.floor((100 + share) * (F.col("n") - F.col("i")) / share) - F.col("n")
 
 
 def _possible(share: int) -> Column:
     """Length, positional and parity filters on a row (n, i, sig) joined to another (xn, xi, xsig)."""
     c = F.col
-    both = c("n") + c("xn")
-    return _fits(share, c("xn"), c("xi")) & (F.bit_count(c("sig").bitwiseXOR(c("xsig"))) <= both - 2 * _need(share, both))
+    need = F.ceil(share * (c("n") + c("xn")) / (100 + share))
+    return (
+        (share * F.greatest("n", "xn") <= 100 * F.least("n", "xn")) & (F.least(c("n") - c("i"), c("xn") - c("xi")) >= need)
+        & (F.bit_count(c("sig").bitwiseXOR(c("xsig"))) <= c("n") + c("xn") - 2 * need)
+    )
 
 
 def _marked(df: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
@@ -111,9 +108,14 @@ def _candidates(sets: DataFrame, share: int, only: DataFrame | None = None) -> D
         listed = listed.repartition(partitions(sets.sparkSession), "list")
         x = other(listed)
         head = F.first(F.struct(*columns)).over(W.partitionBy("list", "follows").orderBy("id", "fp"))
-        # The sizes and places that a list holds: a set that fits none of them has no partner there, and doesn't look.
-        cells = F.collect_set(F.col("n").cast("long") * _PLACES + F.col("i")).over(W.partitionBy("list"))
-        y = listed.withColumn("h", head).withColumn("cells", cells).withColumn("all", F.count("*").over(W.partitionBy("list"))).where((F.col("all") > 1) & F.exists("cells", lambda c: _fits(share, F.floor(c / _PLACES), c % _PLACES)))
+        # A set that fits shorter ones alone looks for partners only where its list holds one that it fits.
+        whole = W.partitionBy("list")
+        least, most, bit = F.col("n") + 1, _largest(share), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))
+        ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.lit(63), F.greatest(F.lit(0), most - F.col("n"))).cast("int")) - 1
+        turned = F.call_function("shiftleft", ones, F.pmod(least, F.lit(64)).cast("int")).bitwiseOR(F.call_function("shiftrightunsigned", ones, F.pmod(-least, F.lit(64)).cast("int")))
+        longer = F.when(F.col("n") > SHORT, -1).when(most <= F.col("n"), 0).otherwise(turned)
+        y = listed.withColumn("h", head).withColumn("all", F.count("*").over(whole)).withColumn("held", F.bit_or(longer).over(whole))
+        y = y.where((F.col("all") > 1) & ((most >= F.col("n")) | (F.col("held").bitwiseAND(bit(F.col("n"))) != 0)))
         y = y.select("list", *columns, *[F.col(f"h.{c}").alias("x" + c) for c in columns])
         y = y.withColumn("head", F.when((F.col("xid") < F.col("id")) & _possible(share), F.col("xfp"))).select("list", *columns, "head")
     else:

@@ -158,20 +158,6 @@ def test_lines_that_share_all_but_a_rare_word(spark):
     assert got == {(rows[i][0], str(p)) for i, p in removed_by_hand(rows)} and len(got) >= 15
 
 
-def test_a_hot_list_is_not_searched_pair_by_pair(spark):
-    """Sets with a list's word in second place fit only shorter ones with it in first place; where there are none, no
-    set of the list looks for partners. With four times the lines the join has as many rows: none."""
-    made = []
-    for n in (500, 2000):
-        docs = spark.range(n).selectExpr("id AS doc_id", "concat('u', id, ' a b c d e f g h j') AS text")
-        ranks = lines.rarity(docs, "text")
-        words = lines.with_tokens(lines.lines_of(docs, "text", "doc_id"), ranks)
-        size = lines.F.size("tokens")
-        sets = words.select(lines.F.xxhash64("tokens").alias("fp"), "id", "key", "pos", size.alias("n"), lines.F.lit(0).cast("long").alias("sig"), lines.F.slice("tokens", lines.F.lit(1), size - lines.F.ceil(size * 0.9).cast("int") + 1).alias("prefix"))
-        made.append(lines._candidates(sets, 90).count())
-    assert made == [0, 0]
-
-
 def test_lines_of_odd_documents(odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").distinct().collect()]
     gone = removed_by_hand(rows)
