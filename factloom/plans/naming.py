@@ -58,7 +58,7 @@ def likely_ids(spark, sf_dir):
     return naming.likely_id(requests, ids, "request", "id", {"deluxe": "the"})
 
 
-@query(r"""SELECT page_id, CASE WHEN page_id % 10 = 0 OR (url IS NOT NULL AND regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1) IN ('25', '825')) THEN 'version' ELSE 'line' END AS scope FROM pages""")
+@query(r"""SELECT page_id, CASE WHEN page_id % 10 = 0 OR (url IS NOT NULL AND list_has_any(string_split_regex(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1)), '[^a-z0-9]+'), ['25', 'or', '825'])) THEN 'version' ELSE 'line' END AS scope FROM pages""")
 def document_scopes(spark, sf_dir):
     """Whether a page is one version's own or the whole line's."""
     kind = F.when(F.pmod("page_id", F.lit(10)) == 0, "sheet").otherwise("page")
