@@ -157,3 +157,10 @@ def year_in_path(url: Column) -> Column:
 def whole_tokens(text: Column) -> Column:
     """array<string>: the runs of digits with . , / inside them, without trailing marks."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9.,/]*"), F.lit(0)), lambda n: F.regexp_replace(n, r"[.,/]+$", ""))
+
+
+def precision_note(field: Column, quote: Column) -> Column:
+    """A caveat where a field in millimetres rests on a quote in metres: its decimals bound what is known; else ''."""
+    decimals = F.length(F.regexp_extract(quote, r"\b[0-9]+[,.]([0-9]{1,2}) *m\b", 1))
+    note = F.concat(F.lit("given in metres with "), decimals.cast("string"), F.lit(" decimal(s); millimetres add no precision"))
+    return F.when(F.endswith(field, F.lit("_mm")) & (decimals > 0), note).otherwise("")

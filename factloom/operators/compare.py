@@ -18,7 +18,7 @@ _VALUE = ("num", "flag", "items", "txt", "status")
 def align(facts: DataFrame, pairs: DataFrame, spec: DataFrame) -> DataFrame:
     """Each pair (home, competitor, ...) with each field of spec and both sides' values, prefixed h_ and c_.
     A field that a side lacks keeps its row, with nulls. spec is a table of constants."""
-    rows = pairs.crossJoin(F.broadcast(spec))
+    rows = pairs.crossJoin(spec)
     for prefix, side in (("h_", "home"), ("c_", "competitor")):
         values = facts.select(F.col("entity").alias(side), "field", *[F.col(v).alias(prefix + v) for v in _VALUE])
         rows = rows.join(values, [side, "field"], "left")
@@ -166,3 +166,15 @@ def suggest(asked: DataFrame, ask_col: str, names: DataFrame, name_col: str, mos
     hits = split(asked, ask_col, "_a").join(split(names, name_col, "_b"), "_w").groupBy(ask_col, name_col, "_a", "_b").agg(F.count("*").alias("_n"))
     scored = hits.withColumn("coverage", F.col("_n") / F.col("_a")).withColumn("score", 2.0 * F.col("_n") / (F.col("_a") + F.col("_b")))
     return top_k(scored, [ask_col], [F.desc("coverage"), F.desc("score"), F.col(name_col)], most).drop("_a", "_b", "_n")
+
+
+def declared_tags(versions: DataFrame, declared: DataFrame, name: str = "version") -> DataFrame:
+    """versions with tags (array, sorted): those declared under the very name, else under its folded form, else none.
+
+    declared: (version, tag), a row a tag. Tags are never inferred from facts: an empty array says that nobody
+    declared any, and a criterion on them has no data. A null tag under a name declares the name without tags."""
+    d = declared.select(F.col("version").alias("_v"), "tag")
+    exact = d.groupBy("_v").agg(F.array_sort(F.collect_set("tag")).alias("_exact"))
+    near = d.groupBy(fold(F.col("_v")).alias("_k")).agg(F.array_sort(F.collect_set("tag")).alias("_near"))
+    j = versions.withColumn("_k", fold(F.col(name))).join(exact, F.col(name) == F.col("_v"), "left").join(near, "_k", "left")
+    return j.withColumn("tags", F.coalesce("_exact", "_near", F.array().cast("array<string>"))).drop("_k", "_v", "_exact", "_near")

@@ -40,7 +40,7 @@ def decide(observations: DataFrame, spec: DataFrame) -> DataFrame:
         F.min(F.when(~at_best, F.col("low"))).alias("other_low"), F.max(F.when(~at_best, F.col("high"))).alias("other_high"),
         F.count_if((F.col("tier") <= OFFICIAL) & (F.col("rows") > F.col("n"))).alias("official_absences"),
     )
-    one = one.join(F.broadcast(spec.select("field", "tol_abs", "tol_rel")), "field", "left")
+    one = one.join(spec.select("field", "tol_abs", "tol_rel"), "field", "left")
     agree = spread_ok(F.col("low"), F.col("high"), F.col("tol_abs"), F.col("tol_rel"))
     far = lambda c: F.coalesce(~spread_ok(F.least(F.col("low"), c), F.greatest(F.col("low"), c), F.col("tol_abs"), F.col("tol_rel")), F.lit(False))
     status = F.when(F.col("best_tier").isNull(), F.when(F.col("official_absences") > 0, DECLARED_ABSENT).otherwise(NOT_FOUND)).when(agree, VERIFIED).otherwise(DIVERGENT)
@@ -59,7 +59,7 @@ def spread_ok(low: Column, high: Column, tol_abs: Column, tol_rel: Column) -> Co
 
 def with_requested(decisions: DataFrame, entities: DataFrame, fields: DataFrame) -> DataFrame:
     """decisions for every entity and requested field; those nobody mentions are not_found."""
-    every = entities.select("entity").distinct().crossJoin(F.broadcast(fields.select("field")))
+    every = entities.select("entity").distinct().crossJoin(fields.select("field"))
     return every.join(decisions, ["entity", "field"], "left").withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))
 
 
@@ -70,7 +70,7 @@ def value_groups(observations: DataFrame, spec: DataFrame) -> DataFrame:
     a tier are one. Rows stream through in order; a task holds the groups' bounds of the field it is at.
     """
     distinct = observations.where("num is not null").select("entity", "field", "tier", "num").distinct()
-    rows = distinct.join(F.broadcast(spec.select("field", "tol_abs", "tol_rel")), "field", "left")
+    rows = distinct.join(spec.select("field", "tol_abs", "tol_rel"), "field", "left")
 
     def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, bounds = None, []

@@ -34,7 +34,8 @@ def locate_everywhere(quotes: DataFrame, docs: DataFrame, quote_id: str = "item_
     listed = F.transform(F.array(F.split(fold(F.col("_t")), " ")), lambda ws: F.when(F.size(ws) >= SEED, hashes(ws)))
     runs = d.select("_d", F.explode(F.array_distinct(F.get(listed, F.lit(0)))).alias("_h"))
     pairs = runs.join(F.broadcast(seeds) if few else seeds, "_h").select("_q", "_d", "_qs", "_qf").join(d, "_d")
-    short = d.join(F.broadcast(q.where(~long).select("_q", "_qs", "_qf")), F.contains(fold(F.col("_t")), F.col("_qf")))
+    brief = q.where(~long).select("_q", "_qs", "_qf")
+    short = d.join(F.broadcast(brief) if few else brief, F.contains(fold(F.col("_t")), F.col("_qf")))
     both = pairs.unionByName(short.select("_q", "_d", "_qs", "_qf", "_t"))
     exact, folded = F.instr(squeeze(F.col("_t")), F.col("_qs")), F.instr(fold(F.col("_t")), F.col("_qf"))
     both = both.withColumn("_e", exact).withColumn("_f", folded).where("_f > 0")

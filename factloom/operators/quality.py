@@ -29,6 +29,12 @@ def health(fields: DataFrame, key: str, blocked: Column | None = None) -> DataFr
     return first_rule(g, rules, ("nothing_open", "OK")).drop("_b")
 
 
+def worst_first(judged: DataFrame, label: str, order: list[str] = ["INSUFFICIENT", "REVIEW", "OK"]) -> DataFrame:  # noqa: B006
+    """judged in the order of what needs care: by status as listed, unlisted ones last, then by label."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
+    return judged.orderBy(F.when(at > 0, at).otherwise(len(order) + 1), label)
+
+
 def first_rule(df: DataFrame, rules: list[tuple[str, str, Column]], otherwise: tuple[str, str]) -> DataFrame:
     """df with rule and status of the first of the ordered rules (name, status, condition) that holds."""
     name = status = None
@@ -53,7 +59,7 @@ def pooled(rows: DataFrame, part: str, whole: str) -> DataFrame:
 
 def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """metrics (metric, value, n) against thresholds (metric, least, inviolable): passed, or null with nothing measured."""
-    return metrics.join(F.broadcast(thresholds), "metric").withColumn("passed", F.when((F.col("n") > 0) & F.col("value").isNotNull(), F.col("value") >= F.col("least")))
+    return metrics.join(thresholds, "metric").withColumn("passed", F.when((F.col("n") > 0) & F.col("value").isNotNull(), F.col("value") >= F.col("least")))
 
 
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -65,7 +65,7 @@ def materiality(events: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     events: before, after, reference, delta_pct, gap_before, gap_after, heavy. Each event meets each rule of the
     constant table; weights of those that fire add up, a veto makes the event noise.
     """
-    met = events.crossJoin(F.broadcast(rules)).withColumn("_f", fires(F.col("kind")))
+    met = events.crossJoin(rules).withColumn("_f", fires(F.col("kind")))
     points = F.sum(F.when(F.col("_f"), F.col("weight")).otherwise(0.0))
     fired = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_f"), F.col("rule")))), ",")
     veto = F.max((F.col("_f") & F.col("veto")).cast("int")) == 1

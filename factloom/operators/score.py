@@ -62,7 +62,7 @@ def weights(ranked: list[str], dimensions: list[str]) -> list[tuple[str, float]]
 
 def field_scores(aligned: DataFrame, field_ranges: DataFrame) -> DataFrame:
     """aligned (see compare.align) with h_score, c_score; a field that one side lacks has neither."""
-    r = aligned.join(F.broadcast(field_ranges), "field", "left")
+    r = aligned.join(field_ranges, "field", "left")
     c = F.col
     own = lambda p: field_score(c("kind"), c(p + "num"), c(p + "flag"), c(p + "items"), c("low"), c("high"), c("insufficient"), c("direction"))
     r = r.withColumn("_h", own("h_")).withColumn("_c", own("c_"))
@@ -73,23 +73,35 @@ def field_scores(aligned: DataFrame, field_ranges: DataFrame) -> DataFrame:
     return r.drop("_h", "_c")
 
 
-def fit(scored: DataFrame, dimensions: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, h_fit, c_fit, considered_weight, n_dimensions, h_wins): weighted means over dimensions.
+def dimension_scores(scored: DataFrame, dimensions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dimension, h, c): mean scores of each dimension's fields; those less than half known are left out.
 
-    dimensions: (field, dimension); profile: (dimension, weight). A dimension less than half known is left out and
-    its weight too. Sums run over integers of hundredths, so their order doesn't matter.
-    """
-    s = scored.join(F.broadcast(dimensions), "field").groupBy(*keys, "dimension").agg(
+    dimensions: (field, dimension). Sums run over integers of hundredths, so their order doesn't matter."""
+    s = scored.join(dimensions, "field").groupBy(*keys, "dimension").agg(
         F.sum(F.col("h_score").cast("decimal(10,2)")).alias("h"), F.sum(F.col("c_score").cast("decimal(10,2)")).alias("c"), F.count("h_score").alias("n"), F.count("*").alias("of"))
-    s = s.join(F.broadcast(profile), "dimension", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     s = s.where((F.col("n") > 0) & (F.col("n") >= LEAST_COVERAGE * F.col("of")))
     mean = lambda x: cents(F.col(x).cast("double") / F.col("n"))
-    s = s.withColumn("h", mean("h")).withColumn("c", mean("c"))
+    return s.select(*keys, "dimension", mean("h").alias("h"), mean("c").alias("c"))
+
+
+def fit(scored: DataFrame, dimensions: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, h_fit, c_fit, considered_weight, n_dimensions, h_wins): weighted means over dimension_scores().
+
+    profile: (dimension, weight). A dimension that is left out takes its weight with it."""
+    s = dimension_scores(scored, dimensions, keys).join(profile, "dimension", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     total = F.sum("weight")
     weighted = lambda x: cents(F.sum(cents(F.col(x) * F.col("weight")).cast("decimal(18,2)")).cast("double") / F.nullif(total, F.lit(0.0)))
     return s.groupBy(*keys).agg(weighted("h").alias("h_fit"), weighted("c").alias("c_fit"), total.alias("considered_weight"), F.count("*").alias("n_dimensions"), F.count_if(F.col("h") > F.col("c")).alias("h_wins"))
 
 
+def fit_changes(before: DataFrame, after: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dimension, weight, h_before, c_before, h_after, c_after): dimensions that both sides have and whose
+    scores differ. before, after: see dimension_scores()."""
+    side = lambda df, at: df.select(*keys, "dimension", F.col("h").alias(f"h_{at}"), F.col("c").alias(f"c_{at}"))
+    j = side(before, "before").join(side(after, "after"), [*keys, "dimension"]).where("h_before <> h_after or c_before <> c_after")
+    return j.join(profile, "dimension", "left").select(*keys, "dimension", F.coalesce("weight", F.lit(0.0)).alias("weight"), "h_before", "c_before", "h_after", "c_after")
+
+
 def cost_of_use(rows: DataFrame, km: Column, per_unit: Column, price: Column) -> DataFrame:
     """rows with cost (km / consumption * price, two digits) or null and lacking, the inputs that are missing."""
     cost = F.round(km / F.nullif(per_unit, F.lit(0.0)) * price, 2)

@@ -22,7 +22,7 @@ def argument_points(spark, sf_dir):
     known = m.long_facts(spark, sf_dir)
     s = score.field_scores(compare.align(known, m.pairs(spark, sf_dir), m.spec(spark)), score.ranges(known)).where("h_score <> c_score")
     profile = tables.literal(spark, score.weights(["value", "terms", "record", "body"], ["value", "terms", "record", "body"]), "grp string, weight double")
-    s = s.join(F.broadcast(profile), "grp").withColumn("good", F.col("h_score") > F.col("c_score"))
+    s = s.join(profile, "grp").withColumn("good", F.col("h_score") > F.col("c_score"))
     best = tables.top_k(s, ["home", "competitor", "good"], [F.desc("weight"), F.desc(F.abs(F.col("h_score") - F.col("c_score"))), F.col("field")], 3)
     return best.where(F.col("good") | (F.col("place") == 1)).select("home", "competitor", "field", "good", F.col("place").cast("bigint").alias("place"))
 
@@ -87,7 +87,7 @@ def status_fidelity(spark, sf_dir):
     """Decided states against the states that a truth table allows."""
     allowed = tables.literal(spark, [("verified", "verified"), ("divergent", "divergent"), ("divergent", "verified")], "want string, status string").withColumn("ok", F.lit(1))
     d = decide.decide(m.observations(spark, sf_dir), _ospec(spark)).withColumn("want", F.when(F.col("entity") % 2 == 0, "verified").otherwise("divergent"))
-    g = d.join(F.broadcast(allowed), ["want", "status"], "left").groupBy("field").agg(F.count("*").alias("n"), F.count("ok").alias("compatible"))
+    g = d.join(allowed, ["want", "status"], "left").groupBy("field").agg(F.count("*").alias("n"), F.count("ok").alias("compatible"))
     return g.withColumn("fidelity", tables.ratio(F.col("compatible"), F.col("n")))
 
 

@@ -185,7 +185,7 @@ def domain_suffix_rule(spark, sf_dir):
     # A host has few suffixes: they meet the rules by equality instead of every host meeting every rule.
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hit = p.select("page_id", F.explode(suffixes).alias("suffix")).join(F.broadcast(d), "suffix", "left")
+    hit = p.select("page_id", F.explode(suffixes).alias("suffix")).join(d, "suffix", "left")
     return hit.groupBy("page_id").agg(F.coalesce(F.max_by("rule", F.when(F.col("rule").isNotNull(), F.length("suffix"))), F.lit("unknown")).alias("rule"))
 
 
