@@ -26,6 +26,11 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(n for n, _ in fields)})")
 
 
+def if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df with a broadcast hint where it has at most `most` rows, counted first; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first by order, which should end in a unique column."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -35,7 +35,7 @@ CASE WHEN kmore = 0 AND kless = 0 THEN 'equal' WHEN kless = 0 THEN 'superset' WH
 def set_parity(spark, sf_dir):
     s = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_set("p_type").alias("kinds"), F.collect_set(F.floor(F.col("p_size") / 10)).alias("bands"))
     h = s.where(F.col("brand") == m.HOME).select(F.col("kinds").alias("hk"), F.col("bands").alias("hb"))
-    x = s.where(F.col("brand") != m.HOME).crossJoin(h)
+    x = s.where(F.col("brand") != m.HOME).crossJoin(F.broadcast(h))  # h: one brand, so one row
     return x.select("brand", compare.set_relation(F.col("hb"), F.col("bands")).alias("bands"), compare.set_relation(F.col("hk"), F.col("kinds")).alias("kinds"), F.size(F.array_intersect("hb", "bands")).cast("bigint").alias("shared"))
 
 
@@ -56,7 +56,7 @@ SELECT brand, max(price) FILTER (kind = 'ECONOMY') AS economy, max(price) FILTER
 def comparison_matrix_pivot(spark, sf_dir):
     b = _brand_prices(spark, sf_dir)
     h = b.where(F.col("brand") == m.HOME).select("kind", F.col("price").alias("hp"))
-    grid = b.where(F.col("brand") != m.HOME).select("brand").distinct().crossJoin(b.select("kind").distinct())
+    grid = b.where(F.col("brand") != m.HOME).select("brand").distinct().crossJoin(tables.if_small(b.select("kind").distinct()))
     x = grid.join(b, ["brand", "kind"], "left").join(h, "kind", "left")
     d = compare.differs(F.col("hp"), F.col("price"), F.lit(None).cast("double"), F.lit(0.02))
     n = x.groupBy("brand").agg(F.count_if(d).alias("n_different"))
@@ -91,7 +91,7 @@ SELECT o.home, b.brand, r.competitor, CAST(coalesce(r.met, 0) AS BIGINT) AS met,
 def benchmark_proposal(spark, sf_dir):
     s = _scored_pairs(spark, sf_dir)
     best = compare.best_match(s.where("comparable"), ["home", "brand"], [F.col("met").desc(), F.abs(F.col("c_p_retailprice") - F.col("h_p_retailprice")), F.col("competitor")])
-    every = s.select("home").distinct().crossJoin(s.select("brand").distinct())
+    every = s.select("home").distinct().crossJoin(tables.if_small(s.select("brand").distinct()))
     out = every.join(best.select("home", "brand", "competitor", "met"), ["home", "brand"], "left")
     return out.select("home", "brand", "competitor", F.coalesce("met", F.lit(0)).cast("bigint").alias("met"), F.when(F.col("competitor").isNull(), "no_comparable").otherwise("").alias("reason"))
 
