@@ -36,9 +36,12 @@ def spread(grid: DataFrame, id_col: str) -> DataFrame:
 def column_of(grid: DataFrame, id_col: str, heading: str) -> DataFrame:
     """(id_col, label, value) of the one column whose heading in row 0 is this; a table with none or several such
     columns gives nothing."""
-    heads = grid.where((F.col("row") == 0) & (F.lower(F.trim("value")) == heading.lower())).groupBy(id_col).agg(F.min("col").alias("at"), F.count("*").alias("n")).where("n = 1")
-    body = labelled(spread(grid, id_col), id_col).where("row > 0 and col > 0")
-    return body.join(heads, id_col).where(F.col("col") == F.col("at")).where("value is not null").select(id_col, "row", "label", "value")
+    head = F.when((F.col("row") == 0) & (F.lower(F.trim("value")) == heading.lower()), F.struct("col"))
+    whole = W.partitionBy(id_col)
+    # All windows are by table, so cells are shuffled once; headings are not joined, as no one knows how many tables there are.
+    body = labelled(spread(grid.where(F.col(id_col).isNotNull()).withColumn("_head", head).repartition(id_col), id_col), id_col)
+    body = body.withColumn("_at", F.min("_head").over(whole)["col"]).withColumn("_n", F.count("_head").over(whole))
+    return body.where("row > 0 and col > 0 and _n = 1 and col = _at and value is not null").select(id_col, "row", "label", "value")
 
 
 #: Marks that fill a cell without a value.

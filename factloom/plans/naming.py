@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, naming
+from ..operators import grid, naming, tables
 from ..operators.tables import literal
 from .registry import query, table
 from .texts import _FOLD
@@ -85,5 +85,5 @@ def cells_to_facts(spark, sf_dir):
         cell(0, 0, ""), cell(0, 1, "XL"), cell(0, 2, "XLT"), cell(0, 3, "Black"), cell(1, 0, "Power (net)"), cell(1, 1, F.concat(s(size * 10), F.lit("/3.500")), 2), cell(1, 2, ""), cell(1, 3, "9/1"), cell(2, 0, ""), cell(2, 1, "x"), cell(2, 2, " – "), cell(2, 3, ""),
         cell(3, 0, "Torque1"), cell(3, 1, "1"), cell(3, 2, F.when(size % 5 == 0, "•").otherwise(s(size + 100))), cell(4, 0, "Gearbox"), cell(4, 1, "Manual 5"), cell(4, 2, F.concat(F.lit("Automatic "), s(size % 9 + 1))), cell(5, 0, "Roof"), cell(5, 1, "Não"), cell(5, 2, F.when(size % 2 == 0, "Sim").otherwise("Não")),
     ]
-    g = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*cells)).alias("c")).select("p_partkey", "c.*")
+    g = tables.dealt(table(spark, sf_dir, "part")).select("p_partkey", F.explode(F.array(*cells)).alias("c")).select("p_partkey", "c.*")
     return grid.cell_facts(g, "p_partkey", "XLT", _CELLS).select("p_partkey", "row", "field", "raw", "num", "flag", "txt", "status")
