@@ -19,7 +19,10 @@ MONTHS = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "
 YES = ["sim", "yes", "true", "1", "s", "y"]
 NO = ["nao", "não", "no", "false", "0", "n"]
 
-_GROUPED = r"^(-?[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?)(?:[^0-9]|$)"
+#: A number: grouped by points, with a decimal comma, with a decimal point, or plain; and the points that group. Each step
+#: of the reading names the one before once, so an expression for the text is worked out once wherever it stands.
+_NUMBER = r"-?[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?(?![0-9])|-?[0-9]+,[0-9]+|-?[0-9]+\.[0-9]+|-?[0-9]+"
+_THOUSANDS = r"\.(?=[0-9]{3}[.,])|(?<=\.[0-9]{3})\.|(?<=^-[0-9]{1,2}|^[0-9]{1,3})\.(?=[0-9]{3}$)"
 
 
 def cents(x: Column) -> Column:
@@ -30,17 +33,8 @@ def cents(x: Column) -> Column:
 def parse_number(text: Column) -> Column:
     """double: the first number of a text in the locale 1.234,5. A point with exactly three digits after at most
     three separates thousands, any other point is a decimal one; no number: null."""
-    rest = F.regexp_extract(F.regexp_replace(text, " ", ""), r"(?s)-?[0-9].*", 0)
-    grouped = F.regexp_extract(rest, _GROUPED, 1)
-    comma = F.regexp_extract(rest, r"^-?[0-9]+,[0-9]+", 0)
-    point = F.regexp_extract(rest, r"^-?[0-9]+\.[0-9]+", 0)
-    plain = F.regexp_extract(rest, r"^-?[0-9]+", 0)
-    num = F.coalesce(*[F.nullif(x, F.lit("")) for x in (grouped, comma, point, plain)])
-    bare = F.translate(num, ".", "")
-    points = F.length(num) - F.length(bare)
-    thousands = (points == 1) & (F.length(F.substring_index(num, ".", 1)) <= 3) & (F.length(F.substring_index(num, ".", -1)) == 3)
-    number = F.when(F.contains(num, F.lit(",")), F.translate(bare, ",", ".")).when((points > 1) | thousands, bare).otherwise(num)
-    return number.try_cast("double")
+    num = F.regexp_extract(F.translate(text, " ", ""), _NUMBER, 0)
+    return F.translate(F.regexp_replace(num, _THOUSANDS, ""), ",", ".").try_cast("double")
 
 
 def unit_slug(unit: Column) -> Column:

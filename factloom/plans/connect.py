@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import compare, links, pricing
+from ..operators import compare, links, pricing, tables
 from ..operators.staging import new_path
 from ..sources import connectors
 from .registry import query, table
@@ -67,7 +67,7 @@ def price_pages(spark, sf_dir):
     page = F.concat_ws("\n", F.lit("# Preço R$ 1,00"), row("Modelo", F.col("p_name")), row("Código tabela", code), row("Referência", month), row("Ano", F.concat(year, F.lit(" Diesel"))), row("Preço", price))
     reply = F.concat(F.lit("saved reply\n---\n"), F.to_json(F.struct(F.concat(F.lit("c-"), k.cast("string")).alias("code"), price.alias("price"), month.alias("month"))))
     got = connectors.price_page(F.when(k % 2 == 0, reply).otherwise(page), F.lit("https://prices.example/"))
-    return table(spark, sf_dir, "part").select("p_partkey", got.alias("g")).select("p_partkey", "g.code", "g.price", "g.month", "g.year", "g.fuel", "g.model", "g.reason")
+    return tables.dealt(table(spark, sf_dir, "part")).select("p_partkey", got.alias("g")).select("p_partkey", "g.code", "g.price", "g.month", "g.year", "g.fuel", "g.model", "g.reason")
 
 
 @query("""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'foreign_address' WHEN p_partkey % 7 = 0 THEN 'year_not_stated' END AS reason, p_name, p_size, p_brand FROM part)
