@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ NEGATION = r"(?:^|[^a-z])(não|nao|sem|not|no|without|kein|keine|ohne|sin|sans|p
 STOP = ["de", "do", "da", "e", "o", "a", "the", "of", "and", "com", "para"]
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Lower case, quotes and hyphens of one kind, runs of white space as one space."""
     t = F.regexp_replace(text, "[“”„«»]", '"')

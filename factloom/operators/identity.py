@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import distinctive, fold, host, tokens
+from ..functions.text import distinctive, fold, host, once, tokens
 
 COMPATIBLE, INCOMPATIBLE, INSUFFICIENT = "compatible", "incompatible", "insufficient"
 #: Version names, a longer one before those it holds.
@@ -24,10 +24,14 @@ def engines(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(fold(text), ",", "."), F.lit(r"(?<![0-9.])([1-8]\.[0-9])(?![0-9.])"), F.lit(1)))
 
 
+def _plain(text: Column) -> Column:
+    """Words of folded text, one space between and round them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), F.lit(" "))
+
+
 def _has(text: Column, word: Column) -> Column:
     """Whether folded text has word as whole words; a word that is null or blank is in every text."""
-    plain = lambda x: F.concat(F.lit(" "), F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")), F.lit(" "))
-    return F.contains(plain(text), plain(fold(F.coalesce(word, F.lit("")))))
+    return F.contains(_plain(text), _plain(fold(F.coalesce(word, F.lit("")))))
 
 
 def versions_named(text: Column, names: list[str] = VERSIONS) -> Column:
@@ -53,31 +57,43 @@ def model_years(text: Column, model: Column) -> Column:
 def identity(text: Column, url: Column, brand: Column, model: Column, version: Column, year: Column) -> Column:
     """struct(state, reasons): incompatible with every contradiction found, insufficient with what the text leaves
     out, else compatible. Missing knowledge is never taken for agreement; a url may refuse, but proves no year."""
-    body, where = fold(F.coalesce(text, F.lit(""))), host(F.coalesce(url, F.lit("")))
+    asked = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(url, F.lit("")).alias("url"), brand.alias("brand"), model.alias("model"), F.coalesce(version, F.lit("")).alias("version"), year.alias("year"))
+    return once(once(asked, _read), _judged)
+
+
+def _read(p: Column) -> Column:
+    """What identity() reads from a text and a request, each thing once."""
+    words = F.filter(distinctive(p["version"]), lambda w: w.rlike("^[a-z]{2,}$") & ~w.isin("turbo", "aut"))
+    return F.struct(
+        fold(p["text"]).alias("body"), _plain(fold(p["text"])).alias("plain"), host(p["url"]).alias("host"), p["url"].alias("url"), p["brand"].alias("brand"), p["model"].alias("model"), p["year"].alias("year"), fold(p["version"]).alias("want"),
+        engines(p["version"]).alias("wanted"), engines(p["text"]).alias("seen"), model_years(p["text"], p["model"]).alias("years"), words.alias("words"),
+        claim_refused(p["version"], F.get(F.split(p["text"], "\n"), F.lit(0))).isNotNull().alias("other"))
+
+
+def _judged(p: Column) -> Column:
+    """identity()'s struct from what _read() gives."""
+    body, where, year, years, want = p["body"], p["host"], p["year"], p["years"], p["want"]
     foreign = body.rlike(FOREIGN)
     for end in FOREIGN_HOSTS:
         foreign = foreign | where.endswith(end)
-    home = body.rlike(HOME) | where.endswith(HOME_HOST) | F.contains(F.coalesce(url, F.lit("")), F.lit("/br/"))
-    wanted, seen = engines(version), engines(text)
+    home = body.rlike(HOME) | where.endswith(HOME_HOST) | F.contains(p["url"], F.lit("/br/"))
     gear, drive = (F.regexp_extract(body, rf"\b(?:{w}) ?[:|=-]? ?([a-z0-9]+)", 1) for w in ("cambio|transmissao", "tracao"))
-    want = fold(F.coalesce(version, F.lit("")))
-    years = model_years(text, model)
     said = F.array_contains(years, year)
     against = [
-        (foreign, "market"), ((F.size(wanted) > 0) & (F.size(seen) > 0) & ~F.arrays_overlap(wanted, seen), "engine"),
+        (foreign, "market"), ((F.size(p["wanted"]) > 0) & (F.size(p["seen"]) > 0) & ~F.arrays_overlap(p["wanted"], p["seen"]), "engine"),
         ((want.rlike(AUTOMATIC) & gear.rlike(MANUAL)) | (want.rlike(MANUAL) & gear.rlike(AUTOMATIC)), "gearbox"),
         ((want.rlike(FOUR) & drive.rlike(TWO)) | (want.rlike(TWO) & drive.rlike(FOUR)), "driven_wheels"),
-        (year.isNotNull() & (F.size(years) > 0) & ~said, "year"), (year.isNotNull() & (F.size(years) > 1) & said, "several_years"),
-        (claim_refused(version, F.get(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(0))).isNotNull(), "version"),
+        (year.isNotNull() & (F.size(years) > 0) & ~said, "year"), (year.isNotNull() & (F.size(years) > 1) & said, "several_years"), (p["other"], "version"),
     ]
-    words = F.filter(distinctive(version), lambda w: w.rlike("^[a-z]{2,}$") & ~w.isin("turbo", "aut"))
+    has = lambda word: F.contains(p["plain"], _plain(fold(F.coalesce(word, F.lit("")))))
     without = [
-        (~_has(body, brand), "brand"), (~_has(body, model), "model"), (~home & ~foreign, "market"), ((F.size(wanted) > 0) & (F.size(seen) == 0), "engine"),
-        (year.isNotNull() & (F.size(years) == 0), "year"), (~F.forall(words, lambda w: _has(body, w)), "version"),
+        (~has(p["brand"]), "brand"), (~has(p["model"]), "model"), (~home & ~foreign, "market"), ((F.size(p["wanted"]) > 0) & (F.size(p["seen"]) == 0), "engine"),
+        (year.isNotNull() & (F.size(years) == 0), "year"), (~F.forall(p["words"], has), "version"),
     ]
     listed = lambda rules: F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in rules]))
-    bad, lack = listed(against), listed(without)
-    return F.when(F.size(bad) > 0, F.struct(F.lit(INCOMPATIBLE).alias("state"), bad.alias("reasons"))).when(F.size(lack) > 0, F.struct(F.lit(INSUFFICIENT).alias("state"), lack.alias("reasons"))).otherwise(F.struct(F.lit(COMPATIBLE).alias("state"), lack.alias("reasons")))
+    state = lambda name, reasons: F.struct(F.lit(name).alias("state"), reasons.alias("reasons"))
+    told = lambda r: F.when(F.size(r["bad"]) > 0, state(INCOMPATIBLE, r["bad"])).when(F.size(r["lack"]) > 0, state(INSUFFICIENT, r["lack"])).otherwise(state(COMPATIBLE, r["lack"]))
+    return once(F.struct(listed(against).alias("bad"), listed(without).alias("lack")), told)
 
 
 def record_refused(record: Column, record_brand: Column, record_year: Column, brand: Column, model: Column, version: Column, year: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import identity, provenance
+from ..operators import identity, provenance, tables
 from .registry import query, table
 
 
@@ -67,7 +67,7 @@ def document_identity(spark, sf_dir):
     said = _t(F.col("p_brand"), " ", first, " ", last, " ", litres, " ", year, "\n", F.when(size % 4 == 0, "Mercado: Argentina").otherwise("Mercado brasileiro"))
     wanted = _t(F.when(size % 11 == 0, "quattroporte").otherwise(last), " ", F.when(third, "8.9").otherwise(litres))
     v = identity.identity(said, F.lit("https://x.com/y"), F.when(size % 7 == 0, "Other").otherwise(F.col("p_brand")), first, wanted, (F.when(size % 5 == 0, 1).otherwise(0) + year).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", v.alias("v")).select("p_partkey", "v.state", F.array_join("v.reasons", ",").alias("reasons"))
+    return tables.dealt(table(spark, sf_dir, "part")).select("p_partkey", v.alias("v")).select("p_partkey", "v.state", F.array_join("v.reasons", ",").alias("reasons"))
 
 
 _WORDS = ["anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large", "new", "old", "plate", "red", "ring", "rod", "small", "widget"]
