@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..functions.text import is_absent, label, split_list
+from ..functions.text import is_absent, label, once, split_list
 from .extract import columns_of_line, is_table_text, labelled, lines
 from .tables import literal
 
@@ -25,10 +25,10 @@ def next_line_pairs(docs: DataFrame, known: list[str], text_col: str = "text", i
     """(id_col, pos, label, value): a line that is a known label, with the first line below it, of REACH, that is not
     blank. Nothing where that line is a label itself or no value, nor in texts laid out as tables. Labels are whole
     lines, since in lists of equipment a label's words begin other items. Rows of docs are worked on alone."""
-    every = F.split(F.col(text_col), "\n")
     is_label = lambda x: (F.length(F.trim(x)) <= LONGEST) & label(x).isin(known)
-    below = lambda i: F.filter(F.slice(every, i + 2, REACH), lambda x: F.trim(x) != "")
-    found = F.filter(F.transform(every, lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("label"), F.trim(F.get(below(i), F.lit(0))).alias("value"))), lambda p: is_label(p["label"]))
+    below = lambda every, i: F.filter(F.slice(every, i + 2, REACH), lambda x: F.trim(x) != "")
+    one = lambda every: F.transform(every, lambda x, i: F.when(is_label(x), F.struct(i.alias("pos"), F.trim(x).alias("label"), F.trim(F.get(below(every, i), F.lit(0))).alias("value"))))
+    found = F.array_compact(once(F.split(F.col(text_col), "\n"), one))
     out = docs.where(~F.coalesce(is_table_text(F.col(text_col)), F.lit(False))).select(F.col(id_col), F.explode(found).alias("p")).select(id_col, "p.*")
     return out.where(F.col("value").isNotNull() & ~is_label(F.col("value")) & ~F.col("value").rlike(NO_VALUE))
 
@@ -50,7 +50,10 @@ def normalised(kind: Column, raw: Column, dimension: Column) -> Column:
 
     kind: number (with a dimension: in its base unit), price, rpm, count, flag, list, text. A declared absence has
     status 'declared_absent' and no value. What cannot be read has status 'unread' and a reason, never an error."""
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is worked out once, whatever f says
+    return once(F.struct(kind.alias("kind"), raw.alias("raw"), dimension.alias("dimension")), lambda p: _normalised(p["kind"], p["raw"], p["dimension"]))
+
+
+def _normalised(kind: Column, raw: Column, dimension: Column) -> Column:
     unit = F.regexp_extract(raw, r"[0-9](?: )?([A-Za-z][A-Za-z.·/-]*[0-9]?)", 1)
     # One table of all dimensions' units. Money words hold no digit, so a price is the number itself.
     factors = F.create_map(*[F.lit(x) for name, units in numbers.UNITS.items() for u, f in units.items() for x in (f"{name}/{u}", f)])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import compare, decide, evaluate, labels, score
+from ..operators import compare, decide, evaluate, labels, score, tables
 from ..operators.tables import literal
 from . import mapping as m
 from .decisions import _DECIDED, _ospec
@@ -25,7 +25,7 @@ def _s(x: Column) -> Column:
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, text): a sheet of each part; by its key label and value stand on two lines, in columns or behind a colon."""
-    p = table(spark, sf_dir, "part")
+    p = tables.dealt(table(spark, sf_dir, "part"))
     size, price = F.col("p_size"), F.bround("p_retailprice", 0).cast("long")
     pairs = [
         ("Power", F.concat(_s(size), F.lit(" kW"))), ("Max. Torque (net)", F.concat(_s(size), F.lit(" lb.ft"))), ("Price", F.concat(F.lit("R$ "), text.thousands(price))),
@@ -92,7 +92,7 @@ def typed_values(spark, sf_dir):
     t = numbers.tyre(F.concat(_s(200 + size), F.lit("/"), _s(60 + size % 30), F.lit(" R"), _s(15 + size % 8)))
     flag = F.when(size % 4 == 1, F.lit("não")).when(size % 4 == 2, F.lit(" Sim ")).when(size % 4 == 3, F.lit("of series"))
     num = lambda kind, raw: labels.normalised(F.lit(kind), raw, F.lit(None).cast("string"))["num"]
-    return table(spark, sf_dir, "part").select(
+    return tables.dealt(table(spark, sf_dir, "part")).select(
         "p_partkey", num("rpm", F.concat(text.thousands(size * 100 + 1000), F.lit(" a 9.000 rpm"))).alias("rpm"), *[t[k].cast("bigint").alias(f"tyre_{k}") for k in ("width", "profile", "rim")],
         numbers.cylinders(F.concat(F.lit("V"), _s(size % 12 + 1))).alias("cylinders"), numbers.parse_flag(flag).alias("flag"), num("price", F.concat(text.thousands(F.floor("p_retailprice")), F.lit(" reais"))).alias("price"),
         numbers.close(F.lit(25.0), size.cast("double"), F.lit(2.0), F.lit(0.1)).alias("near_25"), numbers.combined_consumption(size.cast("double"), F.lit(10.0)).alias("combined"))
