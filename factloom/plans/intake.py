@@ -81,9 +81,9 @@ def imported_rows(spark, sf_dir):
 
 @query("SELECT p_name AS name, CAST(1990 + p_size AS INTEGER) AS year, CAST(floor(p_retailprice) AS BIGINT) AS price, 'http://x/' || p_partkey AS url, 'Line-up of ' || p_brand AS header FROM part")
 def lineup_tables(spark, sf_dir):
-    """Versions of a line-up's pipe table, one text a brand."""
+    """Versions of a line-up's pipe tables: texts of a brand, each of at most a thousand rows."""
     row = F.concat_ws(" | ", F.lit("|"), "p_name", (1990 + F.col("p_size")).cast("string"), F.concat(F.lit("R$ "), text.thousands(F.floor("p_retailprice"))), F.concat(F.lit("http://x/"), F.col("p_partkey").cast("string")), F.lit("|"))
-    t = table(spark, sf_dir, "part").select("p_brand", F.regexp_replace(row, r"^\| \|", "|").alias("row")).groupBy("p_brand").agg(F.array_join(F.collect_list("row"), "\n").alias("rows"))
+    t = table(spark, sf_dir, "part").select("p_brand", F.floor(F.col("p_partkey") / 1000).alias("page"), F.regexp_replace(row, r"^\| \|", "|").alias("row")).groupBy("p_brand", "page").agg(F.array_join(F.collect_list("row"), "\n").alias("rows"))
     head = F.concat(F.lit("Line-up of "), F.col("p_brand"), F.lit("\n\n| name | year | price | url |\n|---|---|---|---|\n"), F.col("rows"))
     return captures.lineup(t.select(head.alias("text")))
 

@@ -63,7 +63,8 @@ def lineup(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(name, year, price, url, header): rows of pipe tables name | year | price | url, with the lines before the
     table as their provenance."""
     header = F.regexp_replace(F.regexp_extract(F.col(text_col), r"(?s)^(.*?)\n\|", 1), r"^\s+|\s+$", "")
-    rows = texts.select(header.alias("header"), F.explode(F.split(text_col, "\n")).alias("line")).where(F.col("line").startswith("|"))
+    # The header is cut out before the lines part, else every line would carry its whole text to it.
+    rows = texts.select(header.alias("header"), F.split(text_col, "\n").alias("lines")).select("header", F.explode("lines").alias("line")).where(F.col("line").startswith("|"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     rows = rows.withColumn("c", cells)
     year = F.get("c", F.lit(1)).try_cast("int")
