@@ -7,6 +7,8 @@ import math
 import random
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from factloom.llm import embed, lines, ngram_join, substring
@@ -290,3 +292,21 @@ def test_report_digest_is_of_kept_words(spark, tmp_path):
     spark.createDataFrame([(1, t), (2, t + " end"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in queries.op8_substring_dedup(spark, str(tmp_path)).collect()}
     assert got[2]["kept_sha256"] == hashlib.sha256(b"end").hexdigest() and got[1]["n_removed"] == 40 and got[3]["n_words"] == 0
+
+
+def test_sets_under_many_common_ngrams_meet_once(spark, monkeypatch):
+    """Sets that share many n-grams, none a copy: they meet under one list, not under each of those n-grams."""
+    nj = ngram_join
+
+    r, shared = random.Random(3), list(range(1, 31))
+    grams = [np.unique(np.array(sorted(r.sample(shared, 15)) + [1000 * (k + 1) + j for j in range(40)], np.uint64)) for k in range(40)]
+    grams += [np.unique(np.r_[grams[0][:-2], np.array([7], np.uint64)])]
+    rows = [(k, len(g), g.tobytes(), 1) for k, g in enumerate(grams)]
+    sets = spark.createDataFrame(rows, "key long, n int, grams binary, block long")
+    by_token = spark.createDataFrame([(k, int(t)) for k, g in enumerate(grams) for t in g if t < 31], "key long, token long")
+    met = []
+    linked = nj._linked
+    monkeypatch.setattr(nj, "_linked", lambda tiles, *a: met.append(tiles.count()) or linked(tiles, *a))
+    got = nj._strays(spark.range(41).select(F.col("id").alias("key")), sets, by_token, 75, 4)
+    assert {tuple(sorted(x)) for x in got.collect()} == {(0, 40)}
+    assert met[0] <= 2 * len(grams)
