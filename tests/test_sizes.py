@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalogue
 from factloom.functions import numbers
-from factloom.operators import grid, identity, labels
+from factloom.operators import decide, grid, ground, identity, labels
 from factloom.sources import captures
 
 FOLDER = "/root/testdata/sf0.001"
@@ -62,3 +62,17 @@ def test_values_are_worked_out_once(spark):
     d = spark.range(1).select(labels.normalised(F.lit("number"), F.concat(F.col("id").cast("string"), F.lit("5 kw")), F.lit("power")).alias("n"))
     assert plan(d).count("concat(cast(id") == 1
     assert d.first()["n"]["num"] == 7.0 and dealt(spark, "typed_values")
+
+
+def test_observations_are_shuffled_once_to_their_tier(spark):
+    obs = spark.createDataFrame([("a", "f", 1.0, "s", 1, "q"), ("a", "f", 1.0, "t", 1, "q"), ("a", "f", None, "u", 1, "r"), ("a", "f", 1.0, None, 1, "r"), ("b", "f", None, "s", 1, "q")], "entity string, field string, num double, source string, tier int, quote string")
+    d = decide.decide(obs, spark.createDataFrame([("f", 0.0, None)], "field string, tol_abs double, tol_rel double"))
+    assert "Expand" not in plan(d)
+    assert sorted((r["entity"], r["independent"], r["n_best"], r["status"]) for r in d.collect()) == [("a", 2, 3, "verified"), ("b", 0, 0, "declared_absent")]
+
+
+def test_claims_are_made_once_to_be_located(spark):
+    c = spark.createDataFrame([(1, "blue ring", "a blue  ring"), (2, "blue rinq sold here today", "a blue ring sold here today"), (3, " ", "x"), (4, "x", None), (5, "zzz qqq", "a blue ring")], "k int, quote string, source_text string")
+    out = ground.locate(c)
+    assert "Union" not in plan(out)
+    assert sorted((r["k"], r["mode"], r["score"] > 92) for r in out.collect()) == [(1, "exact", True), (2, "fuzzy", True), (3, "no_quote", False), (4, "no_text", False), (5, "failed", False)]
