@@ -47,9 +47,10 @@ def locate(claims: DataFrame, quote: str = "quote", text: str = "source_text") -
     through Python."""
     c = claims.withColumn("_m", F.when(F.coalesce(F.trim(F.col(quote)), F.lit("")) == "", "no_quote").when(F.coalesce(F.col(text), F.lit("")) == "", "no_text")
         .when(F.contains(squeeze(F.col(text)), squeeze(F.col(quote))), EXACT).when(F.contains(fold(F.col(text)), fold(F.col(quote))), FOLDED))
-    easy = c.where("_m is not null").withColumn("mode", F.col("_m")).withColumn("score", F.when(F.col("_m").isin(EXACT, FOLDED), 100.0).otherwise(0.0))
-    rest = c.where("_m is null").withColumn("_l", locate_fuzzy(F.col(quote), F.col(text))).withColumn("mode", F.col("_l.mode")).withColumn("score", F.col("_l.score")).drop("_l")
-    return easy.unionByName(rest).drop("_m")
+    # One pass: rows that are settled go by with nulls, so what made the claims is not worked out twice.
+    ask = lambda x: F.when(F.col("_m").isNull(), F.col(x))
+    c = c.withColumn("_l", locate_fuzzy(ask(quote), ask(text)))
+    return c.withColumn("mode", F.coalesce("_m", "_l.mode")).withColumn("score", F.when(F.col("_m").isin(EXACT, FOLDED), 100.0).when(F.col("_m").isNotNull(), 0.0).otherwise(F.col("_l.score"))).drop("_m", "_l")
 
 
 def most_literal(found: DataFrame, keys: list[str]) -> DataFrame:
