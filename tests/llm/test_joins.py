@@ -8,7 +8,6 @@ import random
 import re
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from factloom.llm import embed, lines, ngram_join, substring
