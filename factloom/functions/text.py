@@ -18,26 +18,41 @@ STOP = ["de", "do", "da", "e", "o", "a", "the", "of", "and", "com", "para"]
 
 
 def once(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x worked out once however often f names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+    """f(x), with x worked out once however often f names it: a fold over nothing, whose last step is f. To take it out
+    of an array instead would work out the type of all of f for every row."""
+    return F.aggregate(F.array(), x, lambda a, _: a, f)
+
+
+#: Quotes and hyphens of other kinds and those they become, position by position.
+QUOTES, HYPHENS = "“”„«»", "‐‑‒–—"
+
+
+def _spaced(text: Column, marked: str, plain: str) -> Column:
+    """Lower case, marked letters as plain ones, runs of white space as one space. Texts of as many bytes as characters
+    hold no mark, so those are not read for any; a single space is left alone."""
+    low = F.lower(text)
+    t = F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, marked, plain))
+    return F.trim(F.regexp_replace(t, r"[\t\n\x0B\f\r\xA0][ \t\n\x0B\f\r\xA0]*| [ \t\n\x0B\f\r\xA0]+", " "))
 
 
 def squeeze(text: Column) -> Column:
     """Lower case, quotes and hyphens of one kind, runs of white space as one space."""
-    t = F.regexp_replace(text, "[“”„«»]", '"')
-    t = F.regexp_replace(t, "[‐‑‒–—]", "-")
-    return F.trim(F.regexp_replace(F.lower(t), r"[ \t\n\x0B\f\r ]+", " "))
+    return _spaced(text, QUOTES + HYPHENS, '"' * len(QUOTES) + "-" * len(HYPHENS))
 
 
 def fold(text: Column) -> Column:
     """squeeze() without the marks of Latin letters."""
-    return F.translate(squeeze(text), MARKED, PLAIN)
+    return _spaced(text, QUOTES + HYPHENS + MARKED, '"' * len(QUOTES) + "-" * len(HYPHENS) + PLAIN)
 
 
 def slug(text: Column) -> Column:
     """Letters a-z and digits, all else as one _; never empty: x stands for nothing."""
-    s = F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(s == "", F.lit("x")).otherwise(s)
+    return slug_of(fold(text))
+
+
+def slug_of(folded: Column) -> Column:
+    """slug() of a text that is folded already."""
+    return once(F.btrim(F.regexp_replace(folded, "[^a-z0-9]+", "_"), F.lit("_")), lambda s: F.when(s == "", F.lit("x")).otherwise(s))
 
 
 def label(text: Column) -> Column:
@@ -47,9 +62,15 @@ def label(text: Column) -> Column:
 
 def tokens(text: Column, stop: list[str] = STOP) -> Column:
     """Words without stop words; all words where nothing else is left."""
-    every = F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda w: w != "")
-    kept = F.filter(every, lambda w: ~w.isin(stop))
-    return F.when(F.size(kept) == 0, every).otherwise(kept)
+    return tokens_of(fold(text), stop)
+
+
+def tokens_of(folded: Column, stop: list[str] = STOP) -> Column:
+    """tokens() of a text that is folded already."""
+    every = F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != "")
+    if not stop:
+        return every
+    return once(every, lambda e: once(F.filter(e, lambda w: ~w.isin(stop)), lambda kept: F.when(F.size(kept) == 0, e).otherwise(kept)))
 
 
 #: Words of a version's name that tell no version from another.

@@ -36,8 +36,13 @@ def _has(text: Column, word: Column) -> Column:
 
 def versions_named(text: Column, names: list[str] = VERSIONS) -> Column:
     """array<string>, sorted: the names that a text has as whole words, from left to right, the longest first."""
+    return named_in(fold(F.coalesce(text, F.lit(""))), names)
+
+
+def named_in(folded: Column, names: list[str] = VERSIONS) -> Column:
+    """versions_named() of a text that is folded already."""
     longest = "|".join(sorted(names, key=lambda x: (-len(x), x)))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(rf"\b({longest})\b"), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"\b({longest})\b"), F.lit(1))))
 
 
 def claim_refused(version: Column, quote: Column, names: list[str] = VERSIONS) -> Column:

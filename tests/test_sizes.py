@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalogue
 from factloom.functions import numbers
-from factloom.operators import decide, grid, ground, identity, labels
+from factloom.operators import decide, grid, ground, identity, labels, scope
 from factloom.sources import captures
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +76,14 @@ def test_claims_are_made_once_to_be_located(spark):
     out = ground.locate(c)
     assert "Union" not in plan(out)
     assert sorted((r["k"], r["mode"], r["score"] > 92) for r in out.collect()) == [(1, "exact", True), (2, "fuzzy", True), (3, "no_quote", False), (4, "no_text", False), (5, "failed", False)]
+
+
+def test_headings_are_found_inside_the_row(spark):
+    d = spark.createDataFrame([(1, "## XL 2026\n\t\nItem  A\nXLT 3,0\nPacotes de opcionais:\nitem"), (2, "no head"), (3, None)], "doc_id long, text string")
+    out = scope.headings(d)
+    assert not any(x in plan(out) for x in ("Generate", "Window", "Aggregate"))
+    heads = {r["doc_id"]: r["heads"] and [(h["at"], h["level"], h["option"], h["names"]) for h in r["heads"]] for r in out.collect()}
+    # The line of a tab is blank in the text that places count in.
+    assert heads == {1: [(0, 2, False, ["xl"]), (18, None, False, ["xlt"]), (26, None, True, None)], 2: [], 3: None}
+    claims = d.select("doc_id", F.lit("xl").alias("version"), F.lit("item").alias("quote"), F.lit(False).alias("asks_option"))
+    assert plan(scope.claim_scope(claims, d)).count("Join") == 1
