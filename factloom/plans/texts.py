@@ -17,8 +17,8 @@ _FOLD = f"translate({_SQUEEZE}, '{text.MARKED}', '{text.PLAIN}')"
 @query(f"""WITH s AS (SELECT doc_id, {_FOLD.format("text")} AS f FROM documents), g AS (SELECT doc_id, f, regexp_replace(regexp_replace(f, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM s)
 SELECT doc_id, sha256(f) AS folded, sha256(CASE WHEN s = '' THEN 'x' ELSE s END) AS slug, CAST(len(list_filter(string_split_regex(f, '[^a-z0-9]+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM g""")
 def text_fold_slug(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold(t), 256).alias("folded"), F.sha2(text.slug(t), 256).alias("slug"), F.size(text.tokens(t, [])).cast("bigint").alias("n_words"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("f"))
+    return d.select("doc_id", F.sha2("f", 256).alias("folded"), F.sha2(text.slug_of(F.col("f")), 256).alias("slug"), F.size(text.tokens_of(F.col("f"), [])).cast("bigint").alias("n_words"))
 
 
 _RULE = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in extract.LINE_RULES) + " END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom import catalogue
-from factloom.functions import numbers
+from factloom.functions import numbers, text
 from factloom.operators import decide, grid, ground, identity, labels, scope
 from factloom.sources import captures
 
@@ -87,3 +87,10 @@ def test_headings_are_found_inside_the_row(spark):
     assert heads == {1: [(0, 2, False, ["xl"]), (18, None, False, ["xlt"]), (26, None, True, None)], 2: [], 3: None}
     claims = d.select("doc_id", F.lit("xl").alias("version"), F.lit("item").alias("quote"), F.lit(False).alias("asks_option"))
     assert plan(scope.claim_scope(claims, d)).count("Join") == 1
+
+
+def test_texts_are_folded_once(spark):
+    assert plan(catalogue.QUERIES["text_fold_slug"](spark, FOLDER)).count("translate(lower(") == 1
+    d = spark.createDataFrame([(" A  b\u00a0c\t“Ç”–Ý\n",), ("\tA \n",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in d.select(text.squeeze(F.col("t")), text.fold(F.col("t")), text.slug(F.col("t")), text.tokens(F.col("t"), ["a"])).collect()]
+    assert got == [('a b c "ç"-ý', 'a b c "c"-y', "a_b_c_c_y", ["b", "c", "c", "y"]), ("a", "a", "a", ["a"]), ("", "", "x", []), (None, None, None, None)]
