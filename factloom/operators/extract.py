@@ -30,6 +30,8 @@ FACT_RULES = [
     ("amount", r"(?:R\$|US\$|\$|€) ?([0-9][0-9.,]*[0-9]|[0-9])", 1),
     ("year", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1),
 ]
+#: For these rules, texts of which each match holds one; only lines with one of them are searched.
+HELD = dict(zip([p for _, p, _ in FACT_RULES], [["@"], ["://"], ["."], ["$", "€"], ["19", "20"]], strict=True))
 
 #: Most words of a quote, white space, and what words are made of.
 QUOTE_WORDS = 25
@@ -87,17 +89,18 @@ def facts(docs: DataFrame, rules: list[tuple[str, str, int]] = FACT_RULES, text_
     def matches(name: str, pattern: str, group: int) -> Column:
         found = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))
         one = lambda v, i, *at: F.struct(F.lit(name).alias("rule"), i.alias("nth"), v.alias("value"), *at)
+        may = reduce(or_, [F.contains("line", F.lit(x)) for x in HELD.get(pattern, [""])])
         if not places:
-            return F.transform(found(group), lambda v, i: one(v, i))
+            return F.when(may, F.transform(found(group), lambda v, i: one(v, i)))
         size = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
         # What lies before a match: the pieces between the matches so far, and these.
         before = lambda c, i: size(F.slice(c["pieces"], F.lit(1), i + 1)) + size(F.slice(c["whole"], F.lit(1), i))
         cut = F.struct(F.split("line", pattern).alias("pieces"), found(0).alias("whole"), found(group).alias("values"))
         placed = once(cut, lambda c: F.transform(c["values"], lambda v, i: one(v, i, (before(c, i) + F.instr(F.get(c["whole"], i), v)).alias("at"))))
-        return F.when(F.col("line").rlike(pattern), placed)
+        return F.when(may & F.col("line").rlike(pattern), placed)
 
     found = [matches(*rule) for rule in rules]
-    every = F.flatten(F.array_compact(F.array(*found))) if places else F.concat(*found)
+    every = F.flatten(F.array_compact(F.array(*found)))
     out = lines(docs, text_col, id_col).select(id_col, "pos", "line", F.explode(every).alias("f"))
     if not places:
         return out.select(id_col, "pos", "f.rule", F.col("f.nth").cast("int").alias("nth"), "f.value", "line")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalogue
 from factloom.functions import numbers, text
-from factloom.operators import decide, grid, ground, identity, labels, scope
+from factloom.operators import decide, extract, grid, ground, identity, labels, scope
 from factloom.sources import captures
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,3 +94,13 @@ def test_texts_are_folded_once(spark):
     d = spark.createDataFrame([(" A  b\u00a0c\t“Ç”–Ý\n",), ("\tA \n",), ("",), (None,)], "t string")
     got = [tuple(r) for r in d.select(text.squeeze(F.col("t")), text.fold(F.col("t")), text.slug(F.col("t")), text.tokens(F.col("t"), ["a"])).collect()]
     assert got == [('a b c "ç"-ý', 'a b c "c"-y', "a_b_c_c_y", ["b", "c", "c", "y"]), ("a", "a", "a", ["a"]), ("", "", "x", []), (None, None, None, None)]
+
+
+def test_lines_without_a_rules_signs_are_not_searched(spark):
+    d = spark.createDataFrame([(1, "no sign\na@b.com cost US$ 5 in 2020, 1.2.3.4\n€7 http://x/y"), (2, None), (3, "")], "doc_id long, text string")
+    for places in (False, True):
+        out = extract.facts(d, places=places)
+        assert "Contains(line" in plan(out)
+        assert sorted((r["pos"], r["rule"], r["value"]) for r in out.collect()) == [
+            (1, "amount", "5"), (1, "email", "a@b.com"), (1, "network", "1.2.3.4"), (1, "year", "2020"), (2, "address", "http://x/y"), (2, "amount", "7")]
+    assert [r["value"] for r in extract.facts(d, [("sign", "sign", 0)], places=False).collect()] == ["sign"]
