@@ -6,7 +6,6 @@ from functools import reduce
 from html.parser import HTMLParser
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,16 +161,17 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf(T.StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    """Visible text: scripts, styles and heads dropped, blocks on lines of their own, table cells behind tabs."""
-    def one(h):
-        if h is None:
-            return None
-        p = _Text()
-        p.feed(h)
-        p.close()
-        rows = ("".join(p.out)).split("\n")
-        return "\n".join(x for x in ("\t".join(" ".join(c.split()) for c in r.split("\t")).strip() for r in rows) if x)
+def _html_text(html: str | None) -> str | None:
+    if html is None:
+        return None
+    p = _Text()
+    p.feed(html)
+    p.close()
+    rows = ("".join(p.out)).split("\n")
+    return "\n".join(x for x in ("\t".join(" ".join(c.split()) for c in r.split("\t")).strip() for r in rows) if x)
 
-    return html.map(one)
+
+def html_text(html: Column) -> Column:
+    """Visible text: scripts, styles and heads dropped, blocks on lines of their own, table cells behind tabs. Rows go
+    to Python a hundred at a time, not as Arrow batches of ten thousand pages that a worker would hold several times."""
+    return F.udf(_html_text, T.StringType(), useArrow=False)(html)

@@ -104,3 +104,9 @@ def test_lines_without_a_rules_signs_are_not_searched(spark):
         assert sorted((r["pos"], r["rule"], r["value"]) for r in out.collect()) == [
             (1, "amount", "5"), (1, "email", "a@b.com"), (1, "network", "1.2.3.4"), (1, "year", "2020"), (2, "address", "http://x/y"), (2, "amount", "7")]
     assert [r["value"] for r in extract.facts(d, [("sign", "sign", 0)], places=False).collect()] == ["sign"]
+
+
+def test_pages_reach_python_by_few_rows(spark):
+    out = spark.createDataFrame([("<p>a&amp;b</p><script>x</script><td>c",), (None,)], "h string").select(extract.html_text(F.col("h")).alias("t"))
+    assert "BatchEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["t"] for r in out.collect()] == ["a&b\nc", None]
