@@ -31,6 +31,14 @@ def if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def in_parts(df: DataFrame, rows: int, *keys: str, most: int = 500_000) -> DataFrame:
+    """df dealt by its keys to parts of about `most` of its `rows` rows, in the session's shuffle partitions at least:
+    what one task sorts or counts stays of one size, however large the table. A session's own number of partitions is
+    fixed, and small compressed ones would be put together again."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // most)), *keys)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df with its rows dealt to all cores. A narrow table's file is so small that one task or two read it, however
     many rows it has; costly Columns behind this are not left to those."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalogue
 from factloom.functions import numbers, text
-from factloom.operators import decide, extract, grid, ground, identity, labels, scope
+from factloom.operators import decide, extract, grid, ground, identity, labels, scope, tables
 from factloom.sources import captures
 
 FOLDER = "/root/testdata/sf0.001"
@@ -110,3 +110,10 @@ def test_pages_reach_python_by_few_rows(spark):
     out = spark.createDataFrame([("<p>a&amp;b</p><script>x</script><td>c",), (None,)], "h string").select(extract.html_text(F.col("h")).alias("t"))
     assert "BatchEvalPython" in out._jdf.queryExecution().executedPlan().toString()
     assert [r["t"] for r in out.collect()] == ["a&b\nc", None]
+
+
+def test_tasks_of_a_large_table_stay_small(spark):
+    rows = spark.range(10).select("id", F.lit("a").alias("k"))
+    assert tables.in_parts(rows, 3_000_001, "id").rdd.getNumPartitions() == 7 and tables.in_parts(rows, 10, "id").rdd.getNumPartitions() == 4
+    executed = catalogue.QUERIES["cells_before_text"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in executed
