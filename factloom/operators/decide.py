@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import confidence
 from .facts import DECLARED_ABSENT, DIVERGENT, NOT_FOUND, VERIFIED
@@ -73,26 +77,47 @@ def value_groups(observations: DataFrame, spec: DataFrame) -> DataFrame:
     distinct = observations.where("num is not null").select("entity", "field", "tier", "num").distinct()
     rows = distinct.join(spec.select("field", "tol_abs", "tol_rel"), "field", "left")
 
-    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bounds = None, []
+    def changed(c: pa.Array) -> np.ndarray:
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        return pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, low, high = None, [], []
         for b in batches:
-            mine = []
-            for e, f, num, a, r in zip(b["entity"], b["field"], b["num"], b["tol_abs"], b["tol_rel"], strict=True):
-                if (e, f) != now:
-                    now, bounds = (e, f), []
-                for k, (lo, hi) in enumerate(bounds):
-                    lo, hi = min(lo, num), max(hi, num)
-                    if hi == lo or hi - lo <= a + 1e-9 or hi - lo <= r * max(abs(lo), abs(hi)):
-                        bounds[k] = (lo, hi)
-                        break
-                else:
-                    k = len(bounds)
-                    bounds.append((num, num))
-                mine.append(k)
-            yield b[["entity", "field", "num", "tier"]].assign(grp=mine)
+            if not b.num_rows:
+                continue
+            starts = [0, *(np.flatnonzero(changed(b["entity"]) | changed(b["field"])) + 1).tolist(), b.num_rows]
+            nums, mine = b["num"].to_pylist(), []
+            for i, j in pairwise(starts):
+                key = b["entity"][i].as_py(), b["field"][i].as_py()
+                if i or key != now:  # a batch may go on with the field that the last one ended in
+                    now, low, high = key, [], []
+                a, r = ((c[i].as_py() if c[i].is_valid else -1.0) for c in (b["tol_abs"], b["tol_rel"]))
+                a += 1e-9
+                for num in nums[i:j]:
+                    for k, lo in enumerate(low):
+                        hi = high[k]
+                        if num < lo:
+                            gap = hi - num
+                            if gap <= a or gap <= r * (hi if hi > -num else -num):
+                                low[k] = num
+                                break
+                        elif num > hi:
+                            gap = num - lo
+                            if gap <= a or gap <= r * (num if num > -lo else -lo):
+                                high[k] = num
+                                break
+                        elif lo == lo:  # no wider than before; a group that NaN opened takes nothing
+                            break
+                    else:
+                        k = len(low)
+                        low.append(num)
+                        high.append(num)
+                    mine.append(k)
+            yield b.select(["entity", "field", "num", "tier"]).append_column("grp", pa.array(mine, pa.int32()))
 
     ordered = rows.repartition("entity", "field").sortWithinPartitions("entity", "field", "tier", "num").select("entity", "field", "num", "tier", "tol_abs", "tol_rel")
-    return ordered.mapInPandas(cluster, "entity bigint, field string, num double, tier int, grp int")
+    return ordered.mapInArrow(cluster, T.StructType([*ordered.schema.fields[:4], T.StructField("grp", T.IntegerType())]))
 
 
 def prefer_cells(observations: DataFrame) -> DataFrame:

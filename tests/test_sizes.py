@@ -117,3 +117,15 @@ def test_tasks_of_a_large_table_stay_small(spark):
     assert tables.in_parts(rows, 3_000_001, "id").rdd.getNumPartitions() == 7 and tables.in_parts(rows, 10, "id").rdd.getNumPartitions() == 4
     executed = catalogue.QUERIES["cells_before_text"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in executed
+
+
+def test_groups_of_values_reach_python_as_arrow(spark):
+    nan, rows = float("nan"), [(None, "f", 1), (None, "f", 2), (1, "f", 3), (1, "g", 1), (1, "f", 1)]
+    obs = [(e, f, x, t) for e, f, t in rows for x in (0.0, 5.0, 0.5, -3.0, nan, 5.0, None)]
+    spec = spark.createDataFrame([("f", 1.0, None), ("h", None, 0.5)], "field string, tol_abs double, tol_rel double")
+    out = decide.value_groups(spark.createDataFrame([*obs, (2, "h", -4.0, 1), (2, "h", -2.0, 1), (2, "h", 2.0, 2), (2, "h", 3.0, 1)], "entity bigint, field string, num double, tier int"), spec)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {(e, f): [(str(x["num"]), x["grp"]) for x in sorted((x for x in seen if (x["entity"], x["field"]) == (e, f)), key=lambda x: (x["tier"], x["num"] != x["num"], x["num"]))] for seen in [out.collect()] for e, f in {(x["entity"], x["field"]) for x in seen}}
+    # Values of a missing entity are grouped together as any other's.
+    assert got[None, "f"] == got[1, "f"] == [("-3.0", 0), ("0.0", 1), ("0.5", 1), ("5.0", 2), ("nan", 0)] * 2
+    assert [k for _, k in got[1, "g"]] == [0, 1, 2, 3, 0] and got[2, "h"] == [("-4.0", 0), ("-2.0", 0), ("3.0", 1), ("2.0", 1)]
